@@ -101,3 +101,19 @@ items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
+
+
+def lines_sql(documents: str = "documents") -> str:
+    """Lines exploded with running offsets; a window over equal normalised lines marks all but the first."""
+    norm = "translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {documents}),
+l AS (SELECT r, doc_id, unnest(ls) AS l, unnest(range(0, len(ls))) AS line FROM d),
+o AS (SELECT r, doc_id, line, l, sum(length(l) + 1) OVER (PARTITION BY r ORDER BY line ROWS UNBOUNDED PRECEDING) - length(l) - 1 AS start,
+  list_filter(regexp_split_to_array(l, '{_W}'), lambda x: x <> '') AS w FROM l),
+u AS (SELECT r, doc_id, line, start, start + length(l) AS stop, {norm} AS norm FROM o WHERE len(w) >= 8),
+k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, line) AS n FROM u),
+g AS (SELECT r, count(*) AS n_units, count(*) FILTER (n > 1) AS n_removed, CAST(coalesce(sum(stop - start) FILTER (n > 1), 0) AS BIGINT) AS removed_chars,
+  coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start) FILTER (n > 1), '') AS spans FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)"""
