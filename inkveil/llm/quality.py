@@ -157,7 +157,10 @@ def kept(docs: DataFrame, text_col: str = "text") -> DataFrame:
     packed = docs.select(F.struct("*").alias("row"))
     names = docs.columns
     out = measure(packed.select(F.col("row").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text")))
-    return out.filter("kept").select(*(F.col(f"doc_id.`{c}`").alias(c) for c in names))
+    # A filter moves below projections, and would compute each column it needs anew wherever the verdict uses it. It
+    # doesn't move below one with a column that isn't deterministic, so every row is measured once.
+    once = out.select("doc_id", "kept", F.monotonically_increasing_id().alias("once"))
+    return once.filter(F.col("kept") & (F.col("once") >= 0)).select(*(F.col(f"doc_id.`{c}`").alias(c) for c in names))
 
 
 def compared(docs: DataFrame) -> DataFrame:
