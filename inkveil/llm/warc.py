@@ -7,7 +7,7 @@ name no other attempt uses, and only those that finished attempts report are lis
 leave no record twice.
 
 Of records with equal payloads of ``LEAST_BYTES`` or more, the one with the least page_id is the response and the rest
-revisit it. Digests, not payloads, are grouped; the payload moves once, spread by page, so copies of one page, however
+revisit it. Digests, not payloads, are grouped; the payload moves once at most, by page, so copies of one page, however
 many, meet in no task.
 
 Defined results. Null html: an empty payload. Null url: no target URI. Null page_id: its record has no id field; with a
@@ -137,8 +137,8 @@ def write(pages: DataFrame, root: str) -> DataFrame:
     first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = digests.join(first, "digest").filter("page_id > first or page_id is null").select(F.col("page_id").alias("later"), "digest", "first").distinct()
     rows = base.join(later.withColumnRenamed("digest", "same"), F.col("page_id").eqNullSafe(F.col("later")) & (F.col("digest") == F.col("same")), "left")
-    spread = rows.select("page_id", "url", "payload", "digest", "first").repartition(partitions(pages.sparkSession), F.xxhash64("page_id", "digest", "url"))
-    listed = stored(spread.mapInArrow(_write(root), "file string, n_records bigint, n_bytes bigint"), "archives")
+    laid = rows.select("page_id", "url", "payload", "digest", "first")
+    listed = stored(laid.mapInArrow(_write(root), "file string, n_records bigint, n_bytes bigint"), "archives")
     drop_stored(digests)
     return listed
 
