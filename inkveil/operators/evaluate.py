@@ -55,7 +55,7 @@ def align(masked: Column, text: Column) -> Column:
     prose = F.split(masked, PLACEHOLDER, -1)
     quoted = F.transform(prose, lambda p: F.regexp_replace(p, "([^\\p{L}\\p{N}\\s])", "\\\\$1"))
     rx = F.concat(F.lit("(?s)\\A"), F.array_join(quoted, "(.+?)"), F.lit("\\z"))
-    ok = text.rlike(rx)
+    ok = F.rlike(text, rx)
     regions = F.when(ok & (F.size(marks) > 0), F.transform(F.sequence(F.lit(1), F.size(marks)), lambda i: F.call_function("regexp_extract", text, rx, i)))
     return F.struct(ok.alias("ok"), F.when(~ok, "prose does not survive").alias("reason"), F.coalesce(regions, F.array().cast("array<string>")).alias("regions"))
 
@@ -67,7 +67,7 @@ def violations(masked: Column, text: Column, restored: Column, labels: Column) -
     secret = F.filter(labels, lambda s: ~s["keep"] & s["count"].isNull())
     whole = F.filter(secret, lambda s: occurrences(masked, s["literal"]) > 0)
     words = lambda s: F.filter(F.regexp_extract_all(s["literal"], F.lit("[\\p{L}\\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 3)
-    partial = F.filter(secret, lambda s: (occurrences(masked, s["literal"]) == 0) & F.exists(words(s), lambda w: masked.rlike(F.concat(F.lit("\\b"), w, F.lit("\\b")))))
+    partial = F.filter(secret, lambda s: (occurrences(masked, s["literal"]) == 0) & F.exists(words(s), lambda w: F.rlike(masked, F.concat(F.lit("\\b"), w, F.lit("\\b")))))
     lost = F.filter(labels, lambda s: s["keep"] & (occurrences(masked, s["literal"]) == 0))
     none = F.array().cast("array<struct<kind:string,detail:string>>")
     parts = [
@@ -95,7 +95,7 @@ def injection_points(text: Column) -> Column:
     """Offsets at which a sentence can be put in: after an end of sentence and its space, not after an initial or a title's
     abbreviation."""
     ends = located(text, "[.!?][\"'”’)]*\\s+")
-    short = F.concat(F.lit("(?i)(?:^|[^A-Za-z])(?:[A-Z]|"), F.lit("|".join(sorted(ABBREVIATIONS))), F.lit(")$"))
+    short = f"(?i)(?:^|[^A-Za-z])(?:[A-Z]|{'|'.join(sorted(ABBREVIATIONS))})$"
     fine = F.filter(ends, lambda e: (e["end"] < F.length(text)) & ~F.substring(text, F.greatest(F.lit(1), e["start"] - 12), F.least(F.lit(13), e["start"])).rlike(short))
     return F.transform(fine, lambda e: e["end"])
 

@@ -177,6 +177,10 @@ def oracle_sql() -> dict[str, str]:
         "gates_report": "SELECT * FROM (VALUES ('held_out_recall', '>=', 100.0::DOUBLE, 100.0::DOUBLE, 'PASS'), ('held_out_recall_carrier', '>=', 100.0, NULL, 'NOT_MEASURED'), ('keep_precision', '>=', 100.0, 99.0, 'FAIL'), "
         "('round_trip', '>=', 100.0, 100.0, 'PASS'), ('unaccounted_violations', '==', 0.0, 0.0, 'PASS'), ('over_fire_prose', '<=', 0.61, NULL, 'NOT_MEASURED'), ('bare_surname_exposure', '<=', 1.25, NULL, 'NOT_MEASURED'), "
         "('latency_regression', '<=', 8.0, NULL, 'NOT_MEASURED'), ('asset_entries', '>=', 1.0, NULL, 'NOT_MEASURED')) t(gate, op, bar, value, verdict)",
+        "redact_frames": "SELECT * FROM (VALUES ('recall', 'redact', 21::BIGINT, 21::BIGINT), ('recall', 'keep', 2, 2), ('keep', 'keep', 16, 16), ('intersect', 'redact', 13, 13), "
+        "('intersect', 'keep', 3, 3), ('structured', 'redact', 10, 10)) t(grp, verdict, passed, total)",
+        "frame_violations": "SELECT '' AS frame_id, '' AS kind, '' AS detail WHERE false",
+        "batch_join_split": "SELECT conv_id, turn, text AS masked_text, true AS batched FROM conversations",
         "stream_event_windows": "SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL",
         "session_counts": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), "
         "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) "

@@ -73,7 +73,8 @@ def _mask_udf(options: Options, source: Broadcast | None, own_keys: bool = False
             out.append({"text": masked, "minted": [{"kind": a, "idx": i, "original": b} for a, i, b in new], "n": n, "habit": habit, "spans": spans})
         return pa.array(out, _RESULT)
 
-    return run
+    # Else the optimizer may move the call into the lambda of a later column, where no Python function can run.
+    return run.asNondeterministic()
 
 
 def keys_of(text: str) -> list[str]:
@@ -151,7 +152,7 @@ class Redactor:
 
         i = None if identity_col is None else F.col(identity_col)
         own = F.array().cast("array<string>") if i is None else F.concat(F.array(i["first_name"], i["last_name"]), F.coalesce(i["extra_names"], F.array().cast("array<string>")))
-        return run(F.col(text_col), own)
+        return run.asNondeterministic()(F.col(text_col), own)
 
     def redact_outbound(self, feedback: DataFrame, essays: DataFrame, on: str = "doc_id", text_col: str = "text", identity_col: str | None = None) -> DataFrame:
         """Feedback with the keeps of its essay carried over: one equality join on ``on``, of ids and short word lists."""

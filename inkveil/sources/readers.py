@@ -143,7 +143,7 @@ def json_strings(record: Column, keys: list[str]) -> Column:
             rows.append(out)
         return pa.array(rows, pa.list_(pa.string()))
 
-    return run(record)
+    return run.asNondeterministic()(record)
 
 
 def grouped_text(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:

@@ -38,12 +38,12 @@ def kinds_by_window(stream: DataFrame, time: str = "ts", text_col: str = "text",
     return windowed(stream.select(time, F.explode(found).alias("kind")), ["kind"], time, **kw)
 
 
-def carried_keeps_stream(rows: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def carried_keeps_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Keeps carried from essays to their feedback on one stream.
 
     ``rows(doc_id string, role string, text string, keeps array<string>)``, ``role`` being ``inbound`` or ``outbound``. An
-    inbound row writes its document's keeps to the state, an outbound row leaves with them; state ends ``ttl_ms`` after the
-    last row of its document. Within a micro-batch inbound rows of a document come first.
+    inbound row writes its document's keeps to the state, an outbound row leaves with them; with ``ttl_ms`` state ends that
+    long after the last row of its document (a query with such a timeout runs on until it is stopped). Within a micro-batch inbound rows of a document come first.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,12 +55,13 @@ def carried_keeps_stream(rows: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
         for keeps in pdf.loc[pdf["role"] == "inbound", "keeps"]:
             held = sorted({*held, *([] if keeps is None else keeps)})
         state.update((held,))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         out = pdf.loc[pdf["role"] == "outbound", ["doc_id", "text"]]
         yield out.assign(keeps=[held] * len(out))
 
     return rows.groupBy("doc_id").applyInPandasWithState(
-        step, "doc_id string, text string, keeps array<string>", "keeps array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "doc_id string, text string, keeps array<string>", "keeps array<string>", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
