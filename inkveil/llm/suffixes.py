@@ -39,6 +39,8 @@ LENGTH, SPAN = 400, 160
 CORE = LENGTH - SPAN + 1
 #: Bytes of a text handled at once; longer texts go in overlapping pieces.
 PIECE = 1 << 19
+#: Numbers in the bit table that tells which texts must move.
+WORDS = 1 << 20
 
 
 @cache
@@ -259,6 +261,19 @@ def _map_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _listed(base: DataFrame, keys: DataFrame) -> DataFrame:
+    """``base`` with ``listed``: false only where ``(k1, k2)`` is not in ``keys``.
+
+    A bit table of fixed size, ``WORDS`` numbers of 64 bits at most whatever the input, goes to all tasks; texts it rules
+    out needn't move. With very many keys it rules out fewer, which costs time, not results.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k2").bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.select(F.pmod("k1", F.lit(WORDS)).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    held = F.call_function("shiftright", F.col("bits"), F.col("k2").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) != 0
+    joined = base.withColumn("word", F.pmod("k1", F.lit(WORDS))).join(F.broadcast(bits), "word", "left")
+    return joined.select(*base.columns, F.coalesce(held, F.lit(False)).alias("listed"))
+
+
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The texts with their keys, ``(doc_id, text, k1, k2)``, and the repeated windows, ``(k1, k2, s, t)`` as byte spans."""
     spark = docs.sparkSession
@@ -274,20 +289,28 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drop_stored(found)
     whole = judged.filter("whole").select("k1", "k2", "s", (F.col("e") + LENGTH).alias("t"))
     look = judged.filter("look").groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    once = long.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    once = _listed(long, look).filter("listed").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     windows = once.join(look, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(_map_windows, _WINDOWS)
     n = F.count("*").over(Window.partitionBy("h1", "h2"))
     again = windows.withColumn("n", n).filter("n > 1").select("k1", "k2", "s", (F.col("s") + LENGTH).alias("t"))
-    return base, whole.unionByName(again)
+    spans = stored(whole.unionByName(again), "spans")
+    drop_stored(judged)
+    return base, spans
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)``, a row a document; ``spans`` are the removed bytes."""
     base, spans = repeated(docs)
     lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "t")).alias("spans"))
-    return base.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(
-        _map_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>"
-    )
+    marked = _listed(base, spans.select("k1", "k2"))
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>"
+    cut = marked.filter("listed").join(lists, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_map_cut, schema)
+    zero = F.lit(0).cast("bigint")
+    whole = marked.filter("not listed").select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
+        F.array().cast("array<array<bigint>>").alias("spans"),
+    )
+    return cut.unionByName(whole)
 
 
 def compared(docs: DataFrame) -> DataFrame:
