@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import drop_stored, stored
+from inkveil.llm.common import drop_stored, partitions, stored
 from inkveil.llm.quality import word_array
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), (3, 2), 2, 20240501
@@ -144,7 +144,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     decided, most_blocks = [], sources.select(F.max(F.ceil(F.col("n_docs") / block)).alias("n")).first()["n"] or 1
     while True:
         last = most_blocks <= 1
-        flown = units.groupBy("place", "block").applyInPandas(_fly(seed, last), _UNITS)
+        spread = units.repartition(partitions(docs.sparkSession), "place", "block")  # little data, much work: one task would do it
+        flown = spread.groupBy("place", "block").applyInPandas(_fly(seed, last), _UNITS)
         if last:
             decided.append(flown.filter("p = 1"))
             break
