@@ -86,7 +86,7 @@ class Writer:
         frame = zstandard.ZstdCompressor(level=19).compress(raw)
         fs, path = open_fs(self.path)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.stream = fs.open_output_stream(path)
+        self.stream = fs.open_output_stream(path, compression=None)  # else it compresses by the name
         self.stream.write(struct.pack("<II", MAGIC, len(frame)) + frame)
         self.codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
         for r in self.held:
@@ -146,7 +146,7 @@ def write(pages: DataFrame, root: str) -> DataFrame:
 def records(file: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of an archive: header fields and block, one at a time."""
     fs, path = open_fs(file)
-    with fs.open_input_stream(path) as stream:
+    with fs.open_input_stream(path, compression=None) as stream:
         magic, size = struct.unpack("<II", stream.read(8))
         if magic != MAGIC:
             raise ValueError(f"{file}: no dictionary frame")
@@ -184,8 +184,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
     types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
     for batch in batches:
-        for file in batch.column(0).to_pylist():
-            rows, size = [], 0
+        for file, n_records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, size, n = [], 0, 0
             for fields, block in records(file):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -197,17 +197,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 url = fields.get("WARC-Target-URI")
                 rows.append((integer("WARC-X-Page-ID"), None if url is None else unquote(url), length, digest, kind, integer("WARC-X-Refers-To-Page-ID"), payload if kind == "response" else None))
                 size += len(block)
+                n += 1
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                     rows, size = [], 0
+            if n != n_records:  # a file cut inside a frame ends early
+                raise ValueError(f"{file}: {n} records, {n_records} were written")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def read(files: DataFrame) -> DataFrame:
-    """The records of the archives in ``files(file)``, payloads of responses included; a task takes one file at a time."""
+    """The records of the archives in ``files(file, n_records)``, payloads of responses included; a task takes one file at a time."""
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    return files.select("file").repartition(partitions(files.sparkSession), "file").mapInArrow(_read, schema)
+    return files.select("file", "n_records").repartition(partitions(files.sparkSession), "file").mapInArrow(_read, schema)
 
 
 def compared(pages: DataFrame) -> DataFrame:
