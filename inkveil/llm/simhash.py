@@ -5,9 +5,8 @@ the fingerprint is 1 if it is set in over half the hashes. Fingerprints link at
 
 The join works on distinct fingerprints with their numbers of documents, so copies never meet as pairs. Of
 ``BUDGET + 1`` blocks of bits two linked fingerprints agree in one at least; each fingerprint goes to one bucket a
-block. A bucket larger than ``SPLIT`` is not joined but split the same way by blocks of its remaining bits, again and
-again down to single bits, so no bucket, however hot, is handled whole by one task while it can still be split. In a
-bucket the fingerprints form a binary trie; pairs of nodes are traversed together, level by level, with the bits in
+block. A bucket larger than ``SPLIT`` is not joined but split the same way by blocks of its remaining bits, twice at
+most, so that a hot bucket becomes up to a hundred thousand others. In a bucket the fingerprints form a binary trie; pairs of nodes are traversed together, level by level, with the bits in
 which they differ added up, and a pair is pruned once its sum exceeds the budget. Of the blocks in which a pair agrees
 the first counts it, so it counts once. A bucket returns, for each fingerprint, how many documents it links and one
 edge of a spanning forest: no list of pairs leaves a task.
@@ -33,6 +32,9 @@ from inkveil.llm.components import components
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Fingerprints in a bucket beyond which it is split by further blocks.
 SPLIT = 4096
+#: Levels of blocks. Each multiplies the rows of hot buckets by 5; a bucket that is still large has 31 or more bits in
+#: common and is joined as it is, in pieces of ``FRONTIER`` node pairs.
+LEVELS = 3
 #: Node pairs that one traversal holds at once; larger frontiers are cut into pieces.
 FRONTIER = 1 << 20
 
@@ -222,28 +224,19 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
     fingerprint links there, and a fingerprint to which it is connected."""
     spark = distinct.sparkSession
     n_out = partitions(spark)
-    parts, todo, depth = [], {(): distinct.select(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("key"), "fp", "n")}, 0
-    rows = todo[()]
+    parts, depth, rows = [], 0, distinct.select(F.lit("").alias("path"), "fp", "n")
     while rows is not None:
-        # All blocks of the level at once: a row for each child of the bucket that the row is in.
-        free = max(len(layout((c,) * depth)[1]) for c in range(BUDGET + 1))
-        if depth == 0:
-            kids = F.array(*(F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for p, m in _keys(())))
-        else:
-            paths = [tuple(map(int, r["path"])) for r in rows.select("path").distinct().collect()]  # at most 5 ** depth
-            kids = None
-            for p in paths:
-                own = F.array(*(F.struct(F.lit(c).alias("path"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in _keys(p)))
-                kids = F.when(F.col("path") == "".join(map(str, p)), own) if kids is None else kids.when(F.col("path") == "".join(map(str, p)), own)
-        exploded = rows.select(F.explode(kids).alias("c"), "fp", "n").select("c.path", "c.key", "fp", "n")
+        # A row for each child of the bucket that the row is in. There are at most 5 ** (depth + 1) children.
+        paths = [r["path"] for r in rows.select("path").distinct().collect()] if depth else [""]
+        masks = spark.createDataFrame([(p, c, m) for p in paths for c, m in _keys(tuple(map(int, p)))], "path string, child string, mask bigint")
+        exploded = rows.join(F.broadcast(masks), "path").select(F.col("child").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "n")
         hot = exploded.groupBy("path", "key").count().filter(F.col("count") > split).select("path", "key")
         hot = stored(hot, "hot-buckets")
         n_hot = hot.count()
-        last = free <= 2 * (BUDGET + 1)  # its values differ in these bits alone: at most 1024 of them
-        if n_hot and not last:
+        if n_hot and depth + 1 < LEVELS:
             # n_hot is at most 5 * rows / split; the join may broadcast it by its size, or else sorts.
             cool = exploded.join(hot, ["path", "key"], "left_anti")
-            rows = stored(exploded.join(hot, ["path", "key"], "left_semi"), "hot-rows")
+            rows = stored(exploded.join(hot, ["path", "key"], "left_semi").select("path", "fp", "n"), "hot-rows")
         else:
             cool, rows = exploded, None
         parts.append(cool.repartition(n_out, "path", "key").mapInArrow(_join, "fp bigint, linked bigint, root bigint"))
