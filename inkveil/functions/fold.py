@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ _DASHES = dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212), "-")
 _PLAIN = _QUOTES | _DASHES
 
 
+@lru_cache(1 << 16)
 def fold(name: str) -> str:
     """The key of a name: plain quotes and dashes, no accents, lower case, letters and digits with ``'`` and ``-`` only,
     single spaces, one possessive tail less."""

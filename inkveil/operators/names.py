@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from inkveil.functions.fold import fold
 from inkveil.functions.lexicon import (
@@ -48,6 +49,7 @@ _UNIT = re.compile(r"[^.!?]+[.!?]*")
 _RELATION = "|".join(sorted(RELATIONS))
 _LED = rf"(?:my|our)\s+(?:[a-z][a-z'’-]*\s+){{0,2}}(?:{_RELATION})"
 _LED_BEFORE, _LED_AFTER, _LED_TITLE = re.compile(rf"\b{_LED}\s+$"), re.compile(rf"\s*,\s*(?:who\s+(?:was|is)\s+)?{_LED}\b"), re.compile(rf"{_LED}\b")
+_TAILS = tuple(f for tail in CLITICS for f in (tail, tail.replace("'", "’")))
 _CLAUSE_END = re.compile(r"[\n.!?]")
 _CURLY = str.maketrans("’‘ʼ′", "''''")
 
@@ -101,13 +103,14 @@ class Options:
 
 
 def without_clitic(word: str) -> str:
-    for tail in CLITICS:
-        for form in (tail, tail.replace("'", "’")):
+    if "'" in word or "’" in word:
+        for form in _TAILS:
             if word.endswith(form) and len(word) > len(form):
                 return word.removesuffix(form)
     return word
 
 
+@lru_cache(1 << 16)
 def is_stop(token: str) -> bool:
     return without_clitic(token.lower().strip(".,")).strip("'’") in stop_words()
 

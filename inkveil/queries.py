@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores, in as many: small files with much work a row. Large ones stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _masked_core(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("t")).withColumn("s", minting.initial(F.col("t")))
     for p in CORE:
@@ -36,7 +42,7 @@ def _masked_core(docs: DataFrame) -> DataFrame:
 
 
 def mask_structured_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _masked_core(table(spark, sf_dir, "documents")).select("doc_id", F.col("s.text").alias("masked_text"), F.col("s.n").cast("bigint").alias("n_masked"))
+    return _masked_core(spread(table(spark, sf_dir, "documents"))).select("doc_id", F.col("s.text").alias("masked_text"), F.col("s.n").cast("bigint").alias("n_masked"))
 
 
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ def _mask_one(p: patterns.Pattern, source: str, key: str, col: str):
 
 
 def structured_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = structured.mask_structured(table(spark, sf_dir, "documents"))
+    out = structured.mask_structured(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "masked_text", "n_masked", F.to_json("restore_map").alias("restore_map"))
 
 
@@ -285,7 +291,7 @@ def frame_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole redaction at the default level over all documents."""
-    out = redaction.build(spark, "local", seed_gazetteer(spark)).redact_inbound(table(spark, sf_dir, "documents"))
+    out = redaction.build(spark, "local", seed_gazetteer(spark)).redact_inbound(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "masked_text", "n_masked", "intervened", "habit")
 
 
