@@ -1,6 +1,7 @@
 """Substring dedup by line hashing: of equal lines anywhere in the corpus the earliest stays, the rest go.
 
-Units are the lines (or paragraphs) of a text with ``LEAST_WORDS`` words or more; shorter ones recur by chance and stay.
+Units are the lines (or paragraphs) of a text with ``least`` words or more. The query op6 takes every line that isn't
+blank; ``LEAST_WORDS``, which lets lines stay that may recur by chance, is only the default of the operator.
 A unit's key is the 128-bit digest of its text with A-Z lower-cased and white space made one space. The earliest unit is
 the one with the least doc_id, then line number. Keys are grouped with a partial minimum, so a line that a third of all
 documents share sends one row a task; only units whose key occurs again meet their winner, in an equality join whose hot
@@ -71,9 +72,9 @@ def removed(docs: DataFrame, separator: str = "\n", least: int = LEAST_WORDS) ->
     return every, losers.select("doc_id", "line", "start", "stop").distinct()
 
 
-def compared(docs: DataFrame) -> DataFrame:
+def compared(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The columns that the query op6 returns: a row a document, the removed spans with their original offsets."""
-    every, gone = removed(docs)
+    every, gone = removed(docs, least=least)
     lists = gone.groupBy("doc_id").agg(
         F.count("*").alias("n_removed"), F.sum(F.col("stop") - F.col("start")).alias("removed_chars"),
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"),

@@ -36,7 +36,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.compared(documents(spark, sf_dir))
+    return lines.compared(documents(spark, sf_dir), least=1)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
