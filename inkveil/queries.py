@@ -111,8 +111,7 @@ def allcaps_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capitalisation_habit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return features.habit(english).select("doc_id", F.col("marks").cast("bigint").alias("marks"), F.col("units").cast("bigint").alias("units"), "bare_i")
+    return features.habit(table(spark, sf_dir, "documents")).select("doc_id", F.col("marks").cast("bigint").alias("marks"), F.col("units").cast("bigint").alias("units"), "bare_i")
 
 
 def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
