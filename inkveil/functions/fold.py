@@ -39,10 +39,22 @@ def _latin() -> tuple[str, str]:
 
 def fold_column(name: Column) -> Column:
     """The same as columns, for names in Latin letters up to U+024F: no function of Spark decomposes other scripts."""
+    return _without_tail(_spaced(name))
+
+
+def fold_each(names: Column) -> Column:
+    """:func:`fold_column` of each name of an array, in two steps so that no name is cleaned more than once."""
+    return F.transform(F.transform(names, _spaced), _without_tail)
+
+
+def _spaced(name: Column) -> Column:
     source, target = _latin()
     quotes = "".join(map(chr, _PLAIN))
     plain = F.translate(name, quotes + source, "".join(_PLAIN.values()) + target)
-    spaced = F.trim(F.regexp_replace(F.lower(F.regexp_replace(plain, "\\p{Mn}", "")), "[^\\p{L}\\p{N}'-]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(plain, "\\p{Mn}", "")), "[^\\p{L}\\p{N}'-]+", " "))
+
+
+def _without_tail(spaced: Column) -> Column:
     bare = lambda tail: F.trim(F.rtrim(F.substring(spaced, F.lit(1), F.length(spaced) - len(tail)), F.lit("'")))
     has = lambda tail: spaced.endswith(tail) & (F.length(spaced) > len(tail) + 1)
     return F.when(has("'s"), bare("'s")).when(has("s'"), bare("s'")).otherwise(spaced)

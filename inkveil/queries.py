@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import minting, patterns
 from inkveil.functions.columns import located
-from inkveil.functions.fold import fold_column
+from inkveil.functions.fold import fold_each
 from inkveil.functions.lexicon import KEY_PARTICLES, LANDMARK_SUFFIXES, ORG_SUFFIXES, stop_words
 from inkveil.operators import evaluate, features, structured, tiers
 from inkveil.operators.names import Options
@@ -167,9 +167,10 @@ def surname_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded first tokens of documents in four languages."""
-    first = F.regexp_extract(F.coalesce("text", F.lit("")), "^[^\\s]+(?: [^\\s]+)?", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", fold_column(first).alias("key"))
+    """Every token of every document folded: how many, and a digest of the keys, joined by single spaces."""
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f\\x0b]+", -1), lambda x: x != "")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", fold_each(tokens).alias("keys"))
+    return docs.select("doc_id", F.size("keys").cast("bigint").alias("n_tokens"), F.md5(F.array_join("keys", " ")).alias("keys_md5"))
 
 
 def build_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from inkveil import queries
+from inkveil.functions.fold import fold
 
 
 def rows_of(spark, sf, name):
@@ -26,3 +28,15 @@ def test_habit_in_every_language(spark, sf):
         units = [u for u in re.findall(r"[^.!?]+[.!?]*", text) if re.search(r"[^ \t\n\x0b\f\r]", u)]
         want[r["doc_id"]] = (len(marks), len(units), re.search(r"\bi\b", text) is not None)
     assert len({r["lang"] for r in rows_of(spark, sf, "documents")}) > 1 and got == want
+
+
+def test_every_token_is_folded(spark, sf, tmp_path):
+    rows = [(0, " the Café’s  owner\nZoë O’Brien–Smith's \u201cÅngström\u201d … James' end"), (1, None), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), sf):
+        got = {r["doc_id"]: (r["n_tokens"], r["keys_md5"]) for r in queries.fold_names(spark, d).collect()}
+        want = {}
+        for r in rows_of(spark, d, "documents"):
+            keys = [fold(t) for t in re.split(r"[ \t\n\r\f\x0b]+", r["text"] or "") if t]
+            want[r["doc_id"]] = (len(keys), hashlib.md5(" ".join(keys).encode()).hexdigest())
+        assert got == want
