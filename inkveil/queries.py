@@ -225,11 +225,17 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carrier_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as frames, put into labelled documents at a third and two thirds."""
-    essays = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(F.col("doc_id").alias("essay_id"), "text")
+    """Benchmark texts as frames, put into all documents at a third and two thirds; the frames, numbered densely, take turns."""
+    from pyspark.sql import Window
+
+    essays = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("essay_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = table(spark, sf_dir, "benchmark")
+    number = F.row_number().over(Window.orderBy("item_id", "text")).cast("bigint") - 1
+    sentences = items.select(number.alias("frame_id"), "text")
+    turn = lambda k: F.pmod(F.col("essay_id") + k, F.col("n_frames"))
     slots = F.array(F.floor(F.length("text") * 2 / 3).cast("int"), F.floor(F.length("text") / 3).cast("int"))
-    plan = essays.select("essay_id", F.sha2("text", 256).alias("base_sha256"), F.array(F.col("essay_id") % 40, (F.col("essay_id") + 1) % 40).alias("frames"), slots.alias("slots"))
-    sentences = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("frame_id"), "text")
+    counted = essays.crossJoin(F.broadcast(items.agg(F.count("*").alias("n_frames"))))
+    plan = counted.select("essay_id", F.sha2("text", 256).alias("base_sha256"), F.array(turn(0), turn(1)).alias("frames"), slots.alias("slots"))
     return evaluate.inject(essays, plan, sentences).select("essay_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
 

@@ -40,3 +40,23 @@ def test_every_token_is_folded(spark, sf, tmp_path):
             keys = [fold(t) for t in re.split(r"[ \t\n\r\f\x0b]+", r["text"] or "") if t]
             want[r["doc_id"]] = (len(keys), hashlib.md5(" ".join(keys).encode()).hexdigest())
         assert got == want
+
+
+def test_all_documents_and_all_items_are_injected(spark, sf, tmp_path):
+    docs = [(k, f"some text of document {k}, long enough") for k in range(120)] + [(120, None)]
+    items = [(3 * k + 5, f"item {k}.") for k in range(57)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for d in (str(tmp_path), sf):
+        frames = [t for _, t in sorted((r["item_id"], r["text"]) for r in rows_of(spark, d, "benchmark"))]
+        want = {}
+        for r in rows_of(spark, d, "documents"):
+            t, k = r["text"] or "", r["doc_id"]
+            high, low = len(t) * 2 // 3, len(t) // 3
+            first, second = frames[(k + 1) % len(frames)], frames[k % len(frames)]
+            if high == low and k % len(frames) < (k + 1) % len(frames):  # in one slot, frames go by number
+                first, second = second, first
+            t = f"{t[:low]}{first} {t[low:high]}{second} {t[high:]}"
+            want[k] = (hashlib.md5(t.encode()).hexdigest(), len(t))
+        got = {r["essay_id"]: (r["text_md5"], r["n_chars"]) for r in queries.carrier_injection(spark, d).collect()}
+        assert got == want
