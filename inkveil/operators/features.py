@@ -93,12 +93,14 @@ def organisation_kind(name: Column, settlement: Column | None = None) -> Column:
 def title_matches(toks: DataFrame, titles: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
     """``(doc_id, pos, n)``: at each token the longest title that starts there. ``titles(key)``.
 
-    Only tokens that begin some title grow n-grams: a semi-join on the first word comes before the explosion.
+    Only tokens that begin some title grow n-grams: a semi-join on the first ``least`` words comes before the explosion.
     """
-    heads = titles.select(F.element_at(F.split("key", " "), 1).alias("head")).distinct()
+    head = lambda words: F.array_join(F.slice(words, 1, least), " ")
+    heads = titles.select(F.split("key", " ").alias("words")).filter(F.size("words") >= least).select(head(F.col("words")).alias("head")).distinct()
     low = toks.select("doc_id", "pos", F.translate(F.lower("token"), "’", "'").alias("t"))
     following = F.collect_list("t").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, most - 1))
-    grams = low.withColumn("next", following).join(heads, F.col("t") == F.col("head"), "left_semi").filter(F.size("next") >= least)
+    grams = low.withColumn("next", following).filter(F.size("next") >= least)
+    grams = grams.join(heads, head(F.col("next")) == F.col("head"), "left_semi")
     rows = grams.select("doc_id", "pos", F.explode(F.sequence(F.lit(least), F.size("next"))).alias("n"), "next")
     keyed = rows.select("doc_id", "pos", "n", F.array_join(F.slice("next", F.lit(1), F.col("n")), " ").alias("key"))
     return keyed.join(titles.select("key").distinct(), "key").groupBy("doc_id", "pos").agg(F.max("n").alias("n"))

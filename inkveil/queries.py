@@ -126,24 +126,23 @@ def org_suffix_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest title at each token; the titles are the first three and five words of every seventh document."""
+    """The longest title at each token; the titles are the lines of two to eight tokens of all documents."""
     docs = table(spark, sf_dir, "documents")
     toks = features.tokens(docs)
-    low = toks.filter((F.col("doc_id") % 7 == 0) & (F.col("pos") < 5)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.translate(F.lower("token"), "’", "'").alias("t")))).alias("ts"))
-    words = F.transform("ts", lambda x: x["t"])
-    keys = low.select(F.explode(F.array(F.array_join(F.slice(words, 1, 3), " "), F.array_join(words, " "))).alias("key"), F.size("ts").alias("n")).filter("n = 5").select("key").distinct()
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    words = lines.select(F.regexp_extract_all("line", F.lit(features.TOKEN), F.lit(0)).alias("ws"))
+    keys = words.filter(F.size("ws").between(2, 8)).select(F.translate(F.lower(F.array_join("ws", " ")), "’", "'").alias("key")).distinct()
     return features.title_matches(toks, keys).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("bigint").alias("n"))
 
 
 def _name_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation, region and customer with a tier; every sixth customer with two."""
     key = lambda c: F.lower(F.translate(c, "#_", "  "))
     nation, region, cust = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), table(spark, sf_dir, "customer")
     parts = [
-        nation.filter("n_nationkey % 3 = 0").select(F.lit("place").alias("tier"), key("n_name").alias("key")),
-        nation.filter("n_nationkey % 3 = 1").select(F.lit("demonym").alias("tier"), key("n_name").alias("key")),
-        region.select(F.lit("short").alias("tier"), key("r_name").alias("key")),
-        cust.filter("c_custkey % 4 = 0").select(F.lit("full").alias("tier"), key("c_name").alias("key")),
-        cust.filter("c_custkey % 6 = 0").select(F.lit("title").alias("tier"), key("c_name").alias("key")),
+        nation.select(F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'place' WHEN 1 THEN 'full' ELSE 'title' END").alias("tier"), key("n_name").alias("key")),
+        region.select(F.expr("CASE r_regionkey % 2 WHEN 0 THEN 'short' ELSE 'demonym' END").alias("tier"), key("r_name").alias("key")),
+        cust.select(F.explode(F.expr("CASE WHEN c_custkey % 6 = 0 THEN array('full', 'title') WHEN c_custkey % 2 = 0 THEN array('full') ELSE array('title') END")).alias("tier"), key("c_name").alias("key")),
     ]
     out = parts[0]
     for p in parts[1:]:

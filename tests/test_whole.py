@@ -60,3 +60,31 @@ def test_all_documents_and_all_items_are_injected(spark, sf, tmp_path):
             want[k] = (hashlib.md5(t.encode()).hexdigest(), len(t))
         got = {r["essay_id"]: (r["text_md5"], r["n_chars"]) for r in queries.carrier_injection(spark, d).collect()}
         assert got == want
+
+
+def test_titles_of_all_documents_and_lengths(spark, sf, tmp_path):
+    eight = "one two three four five six seven eight"
+    rows = [(1, f"{eight}\nThe Title\nx"), (2, f"say the title, then {eight} nine"), (3, None), (7, "one two three four\none two three four five six\nO’Brien won")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), sf):
+        words = lambda s: [w.lower().replace("’", "'") for w in re.findall("[A-Za-z][A-Za-z'’-]*", s)]
+        docs = {r["doc_id"]: r["text"] or "" for r in rows_of(spark, d, "documents")}
+        titles = {tuple(w) for t in docs.values() for line in t.split("\n") if 2 <= len(w := words(line)) <= 8}
+        assert {len(t) for t in titles} >= ({2, 4, 6, 8} if d != sf else set(range(2, 9)))
+        want = set()
+        for k, t in docs.items():
+            ws = words(t)
+            for at in range(len(ws)):
+                if n := max((n for n in range(2, 9) if tuple(ws[at : at + n]) in titles and at + n <= len(ws)), default=0):
+                    want.add((k, at, n))
+        assert {(r["doc_id"], r["pos"], r["n"]) for r in queries.title_ngrams(spark, d).collect()} == want
+
+
+def test_every_name_has_a_tier(spark, sf):
+    plain = lambda s: s.lower().replace("#", " ").replace("_", " ")
+    names = [(plain(r["n_name"]), ("place", "full_name", "title")[r["n_nationkey"] % 3]) for r in rows_of(spark, sf, "nation")]
+    names += [(plain(r["r_name"]), "not_notable" if " " in r["r_name"] else ("iconic_short", "demonym")[r["r_regionkey"] % 2]) for r in rows_of(spark, sf, "region")]
+    names += [(plain(r["c_name"]), ("full_name", "title")[r["c_custkey"] % 2]) for r in rows_of(spark, sf, "customer")]
+    want = {t: (len(k), min(k), max(k)) for t in {t for _, t in names} if (k := [k for k, u in names if u == t])}
+    assert {r["tier"]: (r["n"], r["low"], r["high"]) for r in queries.tier_lookup(spark, sf).collect()} == want
+    assert queries._name_gazetteer(spark, sf).select("key").distinct().count() == len({k for k, _ in names})
