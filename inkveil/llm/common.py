@@ -40,6 +40,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, column: str = "__llm_row") -> DataFrame:
+    """``df``, stored, with a number for each row by which decisions find their way back: ids may be null or repeat."""
+    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that nothing reads any more."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import stored
+from inkveil.llm.common import numbered as with_numbers, stored
 
 WINDOW = 10
 #: Most bytes of benchmark text whose windows are sent to the tasks at once.
@@ -242,9 +242,9 @@ def compared(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns.
 
-    The rows travel as a number and a text; a number joins them again only where ids can't be trusted to be unique,
-    so contaminated ids are few, and all rows of an id that has a hit go. Rows with a null doc_id are judged together.
+    The rows are numbered once, in a stored table, and judged by number: each by itself, whatever its doc_id.
     """
-    hits = scan(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__llm_doc_id")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("bigint").eqNullSafe(hits["__llm_doc_id"]), "left_anti")
+    rows = with_numbers(docs, "decontaminate-docs")
+    hits = scan(rows.select(F.col("__llm_row").alias("doc_id"), "text"), benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__llm_hit"))
+    return rows.join(hits, rows["__llm_row"] == hits["__llm_hit"], "left_anti").drop("__llm_row")
 

@@ -3,12 +3,12 @@
 Units are the lines (or paragraphs) of a text with ``least`` words or more. The query op6 takes every line that isn't
 blank; ``LEAST_WORDS``, which lets lines stay that may recur by chance, is only the default of the operator.
 A unit's key is the 128-bit digest of its text with A-Z lower-cased and white space made one space. The earliest unit is
-the one with the least doc_id, then line number. Keys are grouped with a partial minimum, so a line that a third of all
+the one with the least doc_id, then line number, then row. Keys are grouped with a partial minimum, so a line that a third of all
 documents share sends one row a task; only units whose key occurs again meet their winner, in an equality join whose hot
 keys the adaptive skew join splits. Offsets are code points of the original text, ends exclusive.
 
-Defined results. Null or empty text: no units. Null doc_id ranks last. Rows that repeat a doc_id and have the same line
-at the same place count as one occurrence: their lines stay or go together. Other columns are never read.
+Defined results. Null or empty text: no units. Null doc_id ranks last. Rows are told apart by a number, so those that
+repeat a doc_id or have none are documents of their own, and of equal lines one stays. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import stored
+from inkveil.llm.common import numbered, stored
 
 LEAST_WORDS = 8
-_UNITS = "doc_id bigint, line bigint, start bigint, stop bigint, d1 bigint, d2 bigint, n_units bigint"
+_UNITS = "row bigint, doc_id bigint, line bigint, start bigint, stop bigint, d1 bigint, d2 bigint, n_units bigint"
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -42,16 +42,16 @@ def units(text: str, separator: str = "\n", least: int = LEAST_WORDS) -> list[tu
 
 def _map_units(separator: str, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "line", "start", "stop", "d1", "d2", "n_units"]
+        names = ["row", "doc_id", "line", "start", "stop", "d1", "d2", "n_units"]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = units(text.as_py() or "", separator, least)
                 # A document without units keeps a row, so that the result has one for it.
-                rows.append((doc_id, None, None, None, None, None, len(found)))
+                rows.append((row, doc_id, None, None, None, None, None, len(found)))
                 for line, a, b, norm in found:
                     d = hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    rows.append((doc_id, line, a, b, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), None))
+                    rows.append((row, doc_id, line, a, b, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), None))
                 if len(rows) > 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
                     rows = []
@@ -62,25 +62,26 @@ def _map_units(separator: str, least: int):
 
 
 def removed(docs: DataFrame, separator: str = "\n", least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The stored unit rows, and of them those to remove: ``(doc_id, line, start, stop)``, distinct."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """The stored unit rows, and of them those to remove: ``(row, line, start, stop)``. ``docs`` has a number, ``__llm_row``."""
+    texts = docs.select(F.col("__llm_row").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = stored(texts.mapInArrow(_map_units(separator, least), _UNITS), "units")
     real = every.filter("line is not null")
-    rank = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("line").alias("line"))
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"), F.col("line").alias("line"), F.col("row").alias("row"))
     winners = real.groupBy("d1", "d2").agg(F.min(rank).alias("w"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "w")
-    losers = real.join(winners, ["d1", "d2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("line") == F.col("w.line"))))
-    return every, losers.select("doc_id", "line", "start", "stop").distinct()
+    losers = real.join(winners, ["d1", "d2"]).filter((F.col("row") != F.col("w.row")) | (F.col("line") != F.col("w.line")))
+    return every, losers.select("row", "line", "start", "stop")
 
 
 def compared(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The columns that the query op6 returns: a row a document, the removed spans with their original offsets."""
-    every, gone = removed(docs, least=least)
-    lists = gone.groupBy("doc_id").agg(
+    # The numbers are fixed with the stored units; nothing goes back to the texts.
+    every, gone = removed(docs.withColumn("__llm_row", F.monotonically_increasing_id()), least=least)
+    lists = gone.groupBy("row").agg(
         F.count("*").alias("n_removed"), F.sum(F.col("stop") - F.col("start")).alias("removed_chars"),
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"),
     )
-    rows = every.filter("line is null").select("doc_id", "n_units")
-    joined = rows.join(lists.withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    rows = every.filter("line is null").select("row", "doc_id", "n_units")
+    joined = rows.join(lists, "row", "left")
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     zero = F.lit(0).cast("bigint")
     return joined.select("doc_id", "n_units", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("removed_chars", zero).alias("removed_chars"), F.coalesce(spans, F.lit("")).alias("spans"))
@@ -89,10 +90,11 @@ def compared(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 def dedup(docs: DataFrame, separator: str = "\n", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the removed lines cut from ``text``, a separator with each, and ``removed_spans`` in offsets of the
     original. A null text stays null."""
-    _, gone = removed(docs, separator, least)
-    lists = gone.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "start", "stop"))).alias("__llm_gone")).withColumnRenamed("doc_id", "__llm_id")
-    joined = docs.join(lists, docs["doc_id"].cast("bigint").eqNullSafe(lists["__llm_id"]), "left")
+    rows = numbered(docs, "lines-docs")
+    _, gone = removed(rows, separator, least)
+    lists = gone.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "start", "stop"))).alias("__llm_gone")).withColumnRenamed("row", "__llm_id")
+    joined = rows.join(lists, rows["__llm_row"] == lists["__llm_id"], "left")
     numbers = F.transform("__llm_gone", lambda g: g["line"])
-    kept = F.array_join(F.filter(F.split(docs["text"], F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1), lambda _, i: ~F.array_contains(numbers, i.cast("bigint"))), separator)
-    text = F.when(F.col("__llm_gone").isNull(), docs["text"]).otherwise(kept)
-    return joined.select(*((text.alias(c) if c == "text" else docs[c]) for c in docs.columns), F.transform("__llm_gone", lambda g: F.struct(g["start"].alias("start"), g["stop"].alias("stop"))).alias("removed_spans"))
+    kept = F.array_join(F.filter(F.split(rows["text"], F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1), lambda _, i: ~F.array_contains(numbers, i.cast("bigint"))), separator)
+    text = F.when(F.col("__llm_gone").isNull(), rows["text"]).otherwise(kept)
+    return joined.select(*((text.alias(c) if c == "text" else rows[c]) for c in docs.columns), F.transform("__llm_gone", lambda g: F.struct(g["start"].alias("start"), g["stop"].alias("stop"))).alias("removed_spans"))

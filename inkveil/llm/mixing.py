@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import drop_stored, partitions, stored
+from inkveil.llm.common import drop_stored, numbered, partitions, stored
 from inkveil.llm.quality import word_array
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), (3, 2), 2, 20240501
@@ -169,9 +169,10 @@ def compared(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, numbered from 0 in ``copy_no``.
 
-    Rows that share a doc_id, and those that have none, share the decision of the one taken most often.
+    The rows are numbered once, in a stored table, and taken by number: each by itself, whatever its doc_id.
     """
-    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("n")).filter("n > 0").select(F.col("doc_id").alias("__llm_doc_id"), F.col("n").alias("__llm_n"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__llm_doc_id"]))
+    rows = numbered(docs, "mixed-docs")
+    taken = mix(rows.select(F.col("__llm_row").alias("doc_id"), "source", "text")).filter("copies > 0").select(F.col("doc_id").alias("__llm_taken"), F.col("copies").alias("__llm_n"))
+    joined = rows.join(taken, rows["__llm_row"] == taken["__llm_taken"])
     numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__llm_n") - 1))
-    return joined.select(*(docs[c] for c in docs.columns), numbers.alias("copy_no"))
+    return joined.select(*(rows[c] for c in docs.columns), numbers.alias("copy_no"))

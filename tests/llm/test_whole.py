@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from inkveil.llm import queries
+from inkveil.llm import decontaminate, lines, mixing, queries
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def earliest_lines(rows):
@@ -30,3 +32,35 @@ def test_short_lines_are_removed(spark, sf, tmp_path):
         docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
         got = {r["doc_id"]: tuple(r[c] for c in ("n_units", "n_removed", "removed_chars", "spans")) for r in queries.op6_line_dedup(spark, d).collect()}
         assert got == earliest_lines(docs)
+
+
+def test_rows_without_id_decide_by_themselves(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    texts = [(None, f"so {item} so"), (None, "clean one"), (None, None), (1, item), (1, "clean two"), (2, "clean three")]
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in texts], SCHEMA)
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, [texts[1], texts[2], texts[4], texts[5]]))
+
+
+def test_mix_of_rows_without_id_meets_its_target(spark):
+    ten = " ".join("abcdefghij")
+    for key in (None, 7):
+        docs = spark.createDataFrame([(key, f"{ten} {n}", "en", "s", None) for n in range(40)], SCHEMA)
+        out = mixing.mixed(docs)
+        assert out.columns == [*docs.columns, "copy_no"]
+        rows = out.collect()
+        assert len({(r["text"], r["copy_no"]) for r in rows}) == len(rows)
+        assert abs(len(rows) * 11 - 40 * 11 * 1.5) <= 11  # one source: its target is SHARE of its words
+
+
+def test_lines_of_rows_without_id_are_apart(spark):
+    texts = ["once a\nboth x", "both x\nonce b", "once c\nboth x", "both x"]
+    for key in (None, 7):
+        docs = spark.createDataFrame([(key, t, "en", "s", None) for t in texts], SCHEMA)
+        out = lines.dedup(docs, least=1)
+        left = [line for r in out.collect() for line in r["text"].split("\n") if line]
+        assert sorted(left) == ["both x", "once a", "once b", "once c"]
+        got = lines.compared(docs, least=1).collect()
+        assert sorted(r["n_units"] for r in got) == [1, 2, 2, 2] and sum(r["n_removed"] for r in got) == 3
