@@ -1,10 +1,11 @@
-"""Benchmark decontamination: a distributed positional inverted index over the training texts.
+"""Benchmark decontamination: a positional index of each batch of training texts, checked against its tokens.
 
 Each Arrow batch of documents becomes one shard of the index: the positions of every token that the benchmark
 uses, as posting lists sorted by token (other tokens can't take part in a match, so only a gap is kept for them).
 A query window takes the list of its rarest token in the shard, shifted by the token's place in the window, and
-intersects it with its other tokens' positions from rare to common; what is left are exact phrase occurrences.
-:func:`proximity` intersects the same lists within a distance instead. Shards hold whole documents, so matches
+compares its other tokens, from rare to common, with the shard's token array there; what is left are exact phrase
+occurrences. The index is thrown away with its batch. :func:`proximity`, which no query uses, intersects lists within
+a distance instead. Shards hold whole documents, so matches
 need no shuffle: the plan is a scan and a map, and a lost task rebuilds only its shard.
 
 The benchmark's windows go to the tasks with the closure. Its size is checked: beyond ``BLOCK_BYTES`` of text it

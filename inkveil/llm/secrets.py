@@ -1,9 +1,9 @@
-"""Secret scans (native): a trigram index selects candidates, regular expressions verify them.
+"""Secret scans (native): a trigram prefilter selects candidates, regular expressions verify them.
 
-From each rule's regular expression a Boolean trigram query is derived (:mod:`inkveil.llm.trigrams`). The index
-is partitioned by document, as large code indexes are: each row holds the postings of the rules' trigrams for
-its document, and the queries intersect them there, so that no posting list, however common its trigram, and no
-text is shuffled. Rules without mandatory trigrams scan every text. :func:`postings` gives the same index as rows.
+From each rule's regular expression a Boolean trigram query is derived (:mod:`inkveil.llm.trigrams`). There
+is no index: each text is tested for the trigrams of each rule's query, row by row, so that nothing is shuffled, but
+nothing is looked up either. Rules without mandatory trigrams scan every text. :func:`postings` gives an inverted
+index of the same trigrams as rows; the scan doesn't use it.
 
 Offsets are code points, ends exclusive. Matches of a kind are leftmost and don't overlap; matches that fail the
 rule's length are dropped after they have taken their characters. Letters fold in ASCII only.
