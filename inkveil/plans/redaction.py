@@ -58,7 +58,7 @@ def broadcast(spark: SparkSession, gazetteer: DataFrame) -> Broadcast:
     table = key_table(gazetteer)
     n = table.count()
     if n > MOST_KEYS:
-        raise GazetteerTooLarge(f"{n} keys; at most {MOST_KEYS} are broadcast. Use with_own_keys().")
+        raise GazetteerTooLarge(f"{n} keys; at most {MOST_KEYS} are broadcast.")
     return Broadcast(spark.sparkContext.broadcast({r["key"]: r["bits"] for r in table.toLocalIterator()}))
 
 
@@ -86,8 +86,8 @@ def keys_of(text: str) -> list[str]:
 
 
 def with_own_keys(docs: DataFrame, text: Column, gazetteer: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``__own``: the gazetteer's entries for the document's own keys, by a join on the key. For gazetteers
-    too large to broadcast; titles are reached only through prefixes that are keys, so prefixes are joined too."""
+    """``docs`` with ``__own``: the gazetteer's entries for the document's own keys, by a join on the key. No plan uses it
+    yet; titles are reached only through prefixes that are keys, so prefixes are joined too."""
 
     @F.arrow_udf("array<string>")
     def keys(t: pa.Array) -> pa.Array:
