@@ -15,9 +15,19 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.
+
+    Where neither is set there is none, and a temporary folder of this machine would do only if all executors run on
+    it: with a ``local`` master one is made, with any other this raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_inkveil_shared", None)
     if not root:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = named.get() if named.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: with master {master} it must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="inkveil-shared-")
         spark._inkveil_shared = root
     return root.rstrip("/")
@@ -32,11 +42,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at a table that no lost executor takes along."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +68,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or with the first number from 2 that makes it differ from all ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    return next(n for k in range(1, len(taken) + 2) if (n := name if k == 1 else f"{name}_{k}").lower() not in taken)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

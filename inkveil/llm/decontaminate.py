@@ -1,20 +1,22 @@
-"""Benchmark decontamination: a positional index of each batch of training texts, checked against its tokens.
-
-Each Arrow batch of documents becomes one shard of the index: the positions of every token that the benchmark
-uses, as posting lists sorted by token (other tokens can't take part in a match, so only a gap is kept for them).
-A query window takes the list of its rarest token in the shard, shifted by the token's place in the window, and
-compares its other tokens, from rare to common, with the shard's token array there; what is left are exact phrase
-occurrences. The index is thrown away with its batch. :func:`proximity`, which no query uses, intersects lists within
-a distance instead. Shards hold whole documents, so matches
-need no shuffle: the plan is a scan and a map, and a lost task rebuilds only its shard.
-
-The benchmark's windows go to the tasks with the closure. Its size is checked: beyond ``BLOCK_BYTES`` of text it
-is cut into blocks of items of at most that size, each a pass over all documents, joined by document at the end.
-
-Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-cased. Defined results. Null or empty
-text: no words, no hits. An item with fewer words than a window is one window; one without words is none. Item
-ids are a set: repeated rows of an item count once; a null item_id takes part in hits but is not listed. Repeated
-documents: each row by itself. Other columns are never read by :func:`scan`.
+r"""Benchmark decontamination: a stored positional inverted index of the training texts, searched for test windows.
+
+1. :func:`build` cuts the texts into segments of ``SEGMENT_BYTES``, whole documents each, and stores, for every token
+   of a segment, the list of its positions: a row ``(seg, term, n, positions)``. A row without a term describes
+   the segment's documents. Lists are bounded by their segment, so no token, however frequent, makes one long list.
+2. The windows of the benchmark are searched for in the index alone; the texts are not read again. Only lists of terms
+   that windows use leave the table (a join with the terms, broadcast behind a bound), and meet by segment.
+3. In a segment a window starts from the list of its rarest term (by the counts of the whole index), shifted
+   by the term's place; each further list, from rare to common, is intersected with what is left, shifted likewise. What
+   remains are the exact phrase occurrences. For proximity the rarest term's positions stay if all other terms of the
+   window have a position within ``NEAR`` words.
+
+Windows are taken in blocks of at most ``BLOCK_WINDOWS``: a block, not the benchmark, is what the driver and the
+tasks hold; each further block is another pass over the index.
+
+Words are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after A-Z are lower-cased. Defined results. Null or empty
+text: no words, no hits. Empty tables: no rows, or no hits. An item with fewer words than a window is one window; one
+without words is none. Item ids are a set: repeated rows of an item count once; a null item_id takes part in hits but is
+not listed. Repeated documents: each row by itself. Other columns are never read by :func:`scan`.
 """
 
 from __future__ import annotations
@@ -22,18 +24,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import numbered as with_numbers, stored
+from inkveil.llm.common import numbered as with_numbers
+from inkveil.llm.common import partitions, stored
 
-WINDOW = 10
-#: Most bytes of benchmark text whose windows are sent to the tasks at once.
-BLOCK_BYTES = 8 << 20
-#: Bytes of document text in a shard, beyond which the next document starts another.
-SHARD_BYTES = 4 << 20
+WINDOW, NEAR = 10, 15
+#: Most windows that are searched for at once (of ten words, some ten megabytes).
+BLOCK_WINDOWS = 1 << 17
+#: Bytes of document text in a segment, beyond which the next document starts another.
+SEGMENT_BYTES = 2 << 20
 
 _KEPT = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -42,210 +45,306 @@ def _words(text: bytes) -> list[bytes]:
     return text.translate(_KEPT).split()
 
 
+# --- the index
+
+_INDEX = "seg bigint, term binary, n bigint, positions binary, ids array<bigint>"
+_INDEX_ARROW = pa.schema([("seg", pa.int64()), ("term", pa.binary()), ("n", pa.int64()), ("positions", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+
+def _blobs(values: np.ndarray, starts: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:
+    """A binary array over ``values``' bytes, cut at ``starts`` (and the end)."""
+    return pa.BinaryArray.from_buffers(kind, len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _segment(seg: int, ids: list[int | None], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The rows of one segment. Positions count its tokens, with one place left free after each document, so that no
+    phrase goes from one into the next; a list holds the differences of its positions, four bytes each."""
+    vocabulary: dict[bytes, int] = {}
+    number = vocabulary.setdefault
+    bounds, parts = [0], []
+    for text in texts:
+        words = _words(text)
+        parts.append(np.fromiter((number(w, len(vocabulary)) for w in words), np.int32, len(words)))
+        bounds.append(bounds[-1] + len(words) + 1)
+    edges = np.array(bounds, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([seg]), pa.array([None], pa.binary()), pa.array([len(ids)]), pa.array([edges.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], schema=_INDEX_ARROW)
+    if not vocabulary:
+        return
+    tokens = np.concatenate(parts)
+    places = np.arange(len(tokens), dtype=np.int32) + np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(edges) - 1)
+    order = np.argsort(tokens, kind="stable")
+    sizes = np.bincount(tokens, minlength=len(vocabulary))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    gaps = np.diff(places[order], prepend=np.int32(0)).astype("<i4")
+    gaps[starts[:-1]] = places[order][starts[:-1]]
+    terms = list(vocabulary)
+    for a in range(0, len(terms), 1 << 14):
+        b = min(len(terms), a + (1 << 14))
+        lists = gaps[starts[a] : starts[b]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(b - a, seg)), pa.array(terms[a:b], pa.binary()), pa.array(sizes[a:b]), _blobs(lists, 4 * (starts[a : b + 1] - starts[a])), pa.nulls(b - a, pa.list_(pa.int64()))],
+            schema=_INDEX_ARROW,
+        )
+
+
+def _segments(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg, ids, part, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = text.as_py() or b""
+                ids.append(i)
+                part.append(raw)
+                size += len(raw) + 1
+                if size >= most:
+                    yield from _segment(seg, ids, part)
+                    seg, ids, part, size = seg + 1, [], [], 0
+        if ids:
+            yield from _segment(seg, ids, part)
+
+    return run
+
+
+def build(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The stored index of ``docs(doc_id, text)``. ``doc_id`` may be null or repeat: documents keep their place in a segment."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    return stored(texts.mapInArrow(_segments(segment_bytes), _INDEX), "index", "zstd")
+
+
+# --- the windows
+
+
 class Windows:
-    """The windows of some items, by length: token ids, and the items that have each."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        by_window: dict[tuple[int, ...], set[int]] = {}
-        self.items = sorted({i for i, _ in items if i is not None})
-        index = {i: k for k, i in enumerate(self.items)}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in _words((text or "").encode())]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                by_window.setdefault(tuple(ids[k : k + window]), set()).add(index.get(item, -1))
-        groups: dict[int, list[tuple[int, ...]]] = {}
-        for w in by_window:
-            groups.setdefault(len(w), []).append(w)
-        self.groups = {n: np.array(ws, dtype=np.int32).reshape(len(ws), n) for n, ws in groups.items()}
-        self.owners = {n: [np.array(sorted(by_window[w]), dtype=np.int64) for w in ws] for n, ws in groups.items()}
-
-
-class Shard:
-    """Positional postings of the texts in one batch, and phrase queries on them."""
-
-    def __init__(self, texts: list[bytes], vocabulary: dict[bytes, int]):
-        get, out, bounds = vocabulary.get, [], [0]
-        for text in texts:
-            out.extend([get(w, -1) for w in _words(text)])
-            out.append(-1)  # no phrase crosses it
-            bounds.append(len(out))
-        self.tokens = np.array(out, dtype=np.int32)
-        self.bounds = np.array(bounds, dtype=np.int64)
-        at = np.flatnonzero(self.tokens >= 0)
-        order = np.argsort(self.tokens[at], kind="stable")
-        self.positions = at[order]
-        self.starts = np.searchsorted(self.tokens[self.positions], np.arange(len(vocabulary) + 1))
-        self.sizes = np.diff(self.starts)
-
-    def occurrences(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window numbers and start positions of all occurrences of windows of one length."""
-        size = self.sizes[windows]
-        live = np.flatnonzero((size > 0).all(axis=1))
-        if not len(live):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        order = np.argsort(size[live], axis=1, kind="stable")  # rarest first
-        rare = order[:, 0]
-        term = windows[live, rare]
-        n = self.sizes[term]
+    """The windows of some items, by length: term numbers in order, and the items that have each."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.numbers: dict[bytes, int] = {}
+        self.by_window: dict[tuple[int, ...], set[str | None]] = {}
+
+    def add(self, item: str | None, text: str | None) -> None:
+        ids = [self.numbers.setdefault(w, len(self.numbers)) for w in _words((text or "").encode())]
+        for k in range(max(1, len(ids) - self.window + 1) if ids else 0):
+            self.by_window.setdefault(tuple(ids[k : k + self.window]), set()).add(item)
+
+    @property
+    def names(self) -> list[bytes]:
+        return list(self.numbers)
+
+    def close(self, counts: dict[int, int]) -> None:
+        """Fix the arrays. ``counts``: how often each term is in the index; a window with a term that isn't is left out."""
+        names = self.names
+        rank = {t: k for k, t in enumerate(sorted(counts, key=lambda t: (counts[t], names[t])))}
+        self.items = sorted({i for owners in self.by_window.values() for i in owners if i is not None})
+        number = {i: k for k, i in enumerate(self.items)}
+        by_length: dict[int, list[tuple[int, ...]]] = {}
+        for w in self.by_window:
+            if all(t in rank for t in w):
+                by_length.setdefault(len(w), []).append(w)
+        self.groups = {n: np.array(ws, np.int64).reshape(len(ws), n) for n, ws in by_length.items()}
+        #: The places of each window's terms, rarest first.
+        self.orders = {n: np.array([sorted(range(n), key=lambda k, w=w: (rank[w[k]], k)) for w in ws], np.int64).reshape(len(ws), n) for n, ws in by_length.items()}
+        self.owners = {n: [sorted(number[i] for i in self.by_window[w] if i is not None) for w in ws] for n, ws in by_length.items()}
+        self.used = sorted({t for ws in by_length.values() for w in ws for t in w})
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "by_window", "used")}
+
+
+def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Windows]:
+    """The items' windows in blocks of about ``most`` (an item's windows stay together)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    block = Windows(window)
+    for row in items.orderBy("item_id", "text").toLocalIterator():
+        if len(block.by_window) >= most:
+            yield block
+            block = Windows(window)
+        block.add(row["item_id"], row["text"])
+    yield block
+
+
+# --- the search
+
+
+class Lists:
+    """The position lists of a segment: the sorted pairs of term and position, as one number each."""
+
+    def __init__(self, terms: np.ndarray, lists: list[np.ndarray]):
+        order = np.argsort(terms, kind="stable")
+        self.terms = terms[order]
+        parts = [lists[k] for k in order]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.pairs = np.concatenate([(int(t) << 32) + p for t, p in zip(self.terms, parts)]) if parts else np.empty(0, np.int64)
+
+    def size(self, terms: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        return np.where(self.terms[at] == terms, self.sizes[at], 0) if len(self.terms) else np.zeros(terms.shape, np.int64)
+
+    def starts_of_rarest(self, windows: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window whose terms all occur, its number with every position of its rarest term."""
+        live = np.flatnonzero((self.size(windows) > 0).all(axis=1))
+        term = windows[live, orders[live, 0]]
+        at = np.searchsorted(self.terms, term)
+        n = self.sizes[at]
         which = np.repeat(np.arange(len(live)), n)
         place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        start = self.positions[self.starts[term][which] + place] - rare[which]
-        keep = (start >= 0) & (start + windows.shape[1] <= len(self.tokens))
-        which, start = which[keep], start[keep]
+        position = self.pairs[(self.ends[at] - n)[which] + place] & 0xFFFFFFFF if len(which) else np.empty(0, np.int64)
+        return live[which], position
+
+    def phrases(self, windows: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window numbers and start positions of all exact occurrences."""
+        which, position = self.starts_of_rarest(windows, orders)
+        start = position - orders[which, 0] if len(which) else position
+        which, start = which[start >= 0], start[start >= 0]
         for k in range(1, windows.shape[1]):
-            offset = order[which, k]
-            keep = self.tokens[start + offset] == windows[live[which], offset]
+            if not len(which):
+                break
+            offset = orders[which, k]
+            wanted = (windows[which, offset] << 32) + start + offset
+            at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+            keep = self.pairs[at] == wanted
             which, start = which[keep], start[keep]
-        return live[which], start
-
+        return which, start
 
-def _shards(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    def near(self, windows: np.ndarray, orders: np.ndarray, bounds: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+        """Window numbers and positions of their rarest terms that have all other terms of the window within ``within``
+        words in the same document."""
+        which, position = self.starts_of_rarest(windows, orders)
+        for k in range(1, windows.shape[1]):
+            if not len(which):
+                break
+            doc = np.searchsorted(bounds, position, side="right") - 1
+            term = windows[which, orders[which, k]] << 32
+            low = np.searchsorted(self.pairs, term + np.maximum(position - within, bounds[doc]))
+            high = np.searchsorted(self.pairs, term + np.minimum(position + within, bounds[doc + 1] - 2), side="right")
+            which, position = which[low < high], position[low < high]
+        return which, position
+
+
+def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, Lists]]:
+    """The segments of sorted rows ``(seg, id, positions, ids)``, one at a time: number, document ids, bounds, lists."""
+    now, ids, bounds, terms, lists = None, [], None, [], []
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        part_ids, part, size = [], [], 0
-        for i, text in zip(ids, texts):
-            raw = text.as_py() or b""
-            part_ids.append(i)
-            part.append(raw)
-            size += len(raw)
-            if size >= most:
-                yield part_ids, part
-                part_ids, part, size = [], [], 0
-        if part:
-            yield part_ids, part
-
-
-def _scan(windows: Windows):
+        seg, term, blobs, docs = (batch.column(k) for k in range(4))
+        for k, (s, t) in enumerate(zip(seg.to_pylist(), term.to_pylist())):
+            if s != now:
+                if now is not None:
+                    yield now, ids, bounds, Lists(np.array(terms, np.int64), lists)
+                now, terms, lists = s, [], []
+            if t is None:
+                ids, bounds = docs[k].as_py(), np.frombuffer(blobs[k].as_buffer(), np.int64)
+            else:
+                terms.append(t)
+                lists.append(np.cumsum(np.frombuffer(blobs[k].as_buffer(), "<i4"), dtype=np.int64))
+    if now is not None:
+        yield now, ids, bounds, Lists(np.array(terms, np.int64), lists)
+
+
+_FOUND = "seg bigint, place bigint, doc_id bigint, n_words bigint, items array<string>, near array<string>, spans array<array<bigint>>, near_at array<bigint>"
+
+
+def _search(windows: Windows, within: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _shards(batches):
-            shard = Shard(texts, windows.vocabulary)
+        for seg, ids, bounds, lists in _by_segment(batches):
             n_docs = len(ids)
-            edge = np.zeros(len(shard.tokens) + 1, dtype=np.int32)
+            edge = np.zeros(int(bounds[-1]) + 1, np.int64)
             held: list[set[int]] = [set() for _ in range(n_docs)]
+            close: list[set[int]] = [set() for _ in range(n_docs)]
+            at_near: list[set[int]] = [set() for _ in range(n_docs)]
             for n, group in windows.groups.items():
-                which, start = shard.occurrences(group)
+                which, start = lists.phrases(group, windows.orders[n])
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + n, -1)
-                docs = np.searchsorted(shard.bounds, start, side="right") - 1
-                for d, w in set(zip(docs.tolist(), which.tolist())):
-                    held[d].update(windows.owners[n][w].tolist())
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-            runs = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]]))).reshape(-1, 2)
-            owner = np.searchsorted(shard.bounds, runs[:, 0], side="right") - 1
+                near_which, near_at = lists.near(group, windows.orders[n], bounds, within)
+                for found, at, into in ((which, start, held), (near_which, near_at, close)):
+                    docs = np.searchsorted(bounds, at, side="right") - 1
+                    for d, w in set(zip(docs.tolist(), found.tolist())):
+                        into[d].update(windows.owners[n][w])
+                docs = np.searchsorted(bounds, near_at, side="right") - 1
+                for d, p in zip(docs.tolist(), (near_at - bounds[docs]).tolist()):
+                    at_near[d].add(p)
+            covered = np.cumsum(edge[:-1]) > 0
+            runs = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))).reshape(-1, 2)
+            owner = np.searchsorted(bounds, runs[:, 0], side="right") - 1
             spans: list[list[list[int]]] = [[] for _ in range(n_docs)]
-            for d, (a, b) in zip(owner.tolist(), (runs - shard.bounds[owner][:, None]).tolist()):
-                spans[d].append([a, b])
+            for d, span in zip(owner.tolist(), (runs - bounds[owner][:, None]).tolist()):
+                spans[d].append(span)
+            names = lambda sets: pa.array([sorted(windows.items[i] for i in x) for x in sets], pa.list_(pa.string()))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array(ids, pa.int64()),
-                    "n_words": pa.array(np.diff(shard.bounds) - 1, pa.int64()),
-                    "n_hit": pa.array(np.diff(hit[shard.bounds]), pa.int64()),
-                    "items": pa.array([sorted(windows.items[i] for i in h if i >= 0) for h in held], pa.list_(pa.string())),
-                    "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                    "seg": pa.array(np.full(n_docs, seg)), "place": pa.array(np.arange(n_docs)), "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(bounds) - 1),
+                    "items": names(held), "near": names(close), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "near_at": pa.array([sorted(x) for x in at_near], pa.list_(pa.int64())),
                 }
-            )
+            )
 
     return run
 
 
-_ROW = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>"
-
-
-def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple[str | None, str | None]]]:
-    """The items in blocks of at most ``most`` bytes of text (one larger item is a block by itself)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    blocks: list[list[tuple[str | None, str | None]]] = [[]]
-    size = 0
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        n = len((row["text"] or "").encode())
-        if blocks[-1] and size + n > most:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], row["text"]))
-        size += n
-    return blocks
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items, spans)``: a row a document; ``spans`` are runs of hit words, as word numbers."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        return texts.mapInArrow(_scan(Windows(blocks[0], window)), _ROW)
-    # Rows are told apart by a number, as ids may repeat; it is fixed by writing the numbered table.
-    numbered = stored(texts.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
-    found = None
-    for block in blocks:
-        run = _scan(Windows(block, window))
-        part = numbered.select(F.col("row").alias("doc_id"), "text").mapInArrow(run, _ROW).filter("n_hit > 0")
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy(F.col("doc_id").alias("row")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
-    )
-    start = F.expr("cast(array() as array<array<bigint>>)")
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.get(F.get(acc, F.size(acc) - 1), F.lit(1)) >= s[0])
-        grown = F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(last[0], F.greatest(last[1], s[1])))
-        return F.when(joins, grown).otherwise(F.array_append(acc, s))
-
-    merged = merged.select("row", "items", F.aggregate("spans", start, step).alias("spans"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s[1] - s[0])
-    plain = numbered.select("row", "doc_id", F.col("text"))
-    none = Windows([], window)
-    count = plain.select("row", "text").withColumnRenamed("row", "doc_id").mapInArrow(_scan(none), _ROW).select(F.col("doc_id").alias("row"), "n_words")
-    return (
-        numbered.select("row", "doc_id").join(count, "row").join(merged, "row", "left")
-        .select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", start).alias("spans"))
-    )
+def _found(index: DataFrame, windows: Windows, within: int) -> DataFrame:
+    """What a block of windows finds: a row a document of the index."""
+    spark = index.sparkSession
+    terms = lambda numbers: F.broadcast(spark.createDataFrame([(bytearray(windows.names[t]), t) for t in numbers], "word binary, id bigint"))
+    lists = index.filter("term is not null")
+    counts = lists.select("term", "n").join(terms(range(len(windows.names))), F.col("term") == F.col("word")).groupBy("id").agg(F.sum("n").alias("n"))
+    windows.close({r["id"]: r["n"] for r in counts.collect()})  # a row a term of the block
+    wanted = lists.join(terms(windows.used), F.col("term") == F.col("word")).select("seg", "id", "positions", "ids")
+    laid = wanted.unionByName(index.filter("term is null").select("seg", F.lit(None).cast("bigint").alias("id"), "positions", "ids"))
+    laid = laid.repartition(partitions(spark), "seg").sortWithinPartitions("seg", F.col("id").asc_nulls_first())
+    return laid.mapInArrow(_search(windows, within), _FOUND)
 
 
-def proximity(docs: DataFrame, phrases: list[tuple[str, str]], within: int) -> DataFrame:
-    """``(doc_id, phrase_id, position)``: each occurrence of a phrase's rarest word that has all its other words within
-    ``within`` words on either side. ``phrases`` are ``(phrase_id, text)``."""
-    vocabulary: dict[bytes, int] = {}
-    wanted = [(name, sorted({vocabulary.setdefault(w, len(vocabulary)) for w in _words(text.encode())})) for name, text in phrases]
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``(doc_id, n_words, n_hit, items, near, spans, near_at)``: a row a document of the index.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _shards(batches):
-            shard = Shard(texts, vocabulary)
-            out: list[tuple[int, str, int]] = []
-            for name, terms in wanted:
-                if not terms or not all(shard.sizes[t] for t in terms):
-                    continue
-                terms = sorted(terms, key=lambda t: shard.sizes[t])
-                lists = [shard.positions[shard.starts[t] : shard.starts[t + 1]] for t in terms]
-                at = lists[0]
-                doc = np.searchsorted(shard.bounds, at, side="right") - 1
-                for other in lists[1:]:
-                    low = np.maximum(at - within, shard.bounds[doc])
-                    high = np.minimum(at + within, shard.bounds[doc + 1] - 2)
-                    keep = np.searchsorted(other, low) < np.searchsorted(other, high, side="right")
-                    at, doc = at[keep], doc[keep]
-                out += [(ids[d], name, int(a - shard.bounds[d])) for a, d in zip(at.tolist(), doc.tolist())]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["doc_id", "phrase_id", "position"]).astype({"doc_id": "int64", "position": "int64", "phrase_id": "object"}), schema=pa.schema([("doc_id", pa.int64()), ("phrase_id", pa.string()), ("position", pa.int64())]), preserve_index=False)
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, phrase_id string, position bigint")
+    ``items`` have a window that occurs, ``near`` one whose words lie within ``near`` words of its rarest, at the word
+    numbers ``near_at``; ``spans`` are runs of hit words, as word numbers.
+    """
+    found, several = None, False
+    for windows in _blocks(benchmark, window, block_windows):
+        part = _found(index, windows, near)
+        if found is not None:
+            found, several = (found if several else stored(found, "block")).unionByName(stored(part, "block")), True
+        else:
+            found = part
+    if several:
+        united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+        found = found.groupBy("seg", "place").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), united("items").alias("items"), united("near").alias("near"), united("spans").alias("spans"), united("near_at").alias("near_at"),
+        )
+        found = found.withColumn("spans", F.aggregate("spans", F.expr("cast(array() as array<array<bigint>>)"), _joined))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s[1] - s[0])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "near", "spans", "near_at")
+
+
+def _joined(acc, span):
+    """Sorted spans, with the next one joined to the last if they touch."""
+    last = F.element_at(acc, -1)
+    joins = (F.size(acc) > 0) & (F.get(F.get(acc, F.size(acc) - 1), F.lit(1)) >= span[0])
+    grown = F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(last[0], F.greatest(last[1], span[1])))
+    return F.when(joins, grown).otherwise(F.array_append(acc, span))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, block_windows: int = BLOCK_WINDOWS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """:func:`search` in the index of ``docs``."""
+    return search(build(docs, segment_bytes), benchmark, window, near, block_windows)
 
 
 def compared(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The columns that the query op5 returns."""
+    """The columns that the query op5 returns; ``n_near`` counts the items with a proximity match."""
     return scan(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("bigint").alias("n_near"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any hit, with all their columns.
+    """The rows of ``docs`` without any exact hit, with all their columns.
 
-    The rows are numbered once, in a stored table, and judged by number: each by itself, whatever its doc_id.
+    The rows are numbered once, in a stored table, and judged by number: each by itself, whatever its doc_id. The numbers
+    of those that go are stored, so that Spark knows their size: few are broadcast, and the texts stay where they are.
     """
     rows = with_numbers(docs, "decontaminate-docs")
     hits = scan(rows.select(F.col("__llm_row").alias("doc_id"), "text"), benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__llm_hit"))
+    hits = stored(hits, "contaminated")
     return rows.join(hits, rows["__llm_row"] == hits["__llm_hit"], "left_anti").drop("__llm_row")
-

@@ -1,7 +1,6 @@
 """Substring dedup by line hashing: of equal lines anywhere in the corpus the earliest stays, the rest go.
 
-Units are the lines (or paragraphs) of a text with ``least`` words or more. The query op6 takes every line that isn't
-blank; ``LEAST_WORDS``, which lets lines stay that may recur by chance, is only the default of the operator.
+Units are the lines (or paragraphs) of a text that aren't blank; with ``least`` only those of as many words or more.
 A unit's key is the 128-bit digest of its text with A-Z lower-cased and white space made one space. The earliest unit is
 the one with the least doc_id, then line number, then row. Keys are grouped with a partial minimum, so a line that a third of all
 documents share sends one row a task; only units whose key occurs again meet their winner, in an equality join whose hot
@@ -21,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import numbered, stored
+from inkveil.llm.common import free_name, numbered, stored
 
-LEAST_WORDS = 8
+LEAST_WORDS = 1
 _UNITS = "row bigint, doc_id bigint, line bigint, start bigint, stop bigint, d1 bigint, d2 bigint, n_units bigint"
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,12 +83,13 @@ def compared(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     joined = rows.join(lists, "row", "left")
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     zero = F.lit(0).cast("bigint")
-    return joined.select("doc_id", "n_units", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("removed_chars", zero).alias("removed_chars"), F.coalesce(spans, F.lit("")).alias("spans"))
+    gone = F.coalesce("n_removed", zero)
+    return joined.select("doc_id", (gone > 0).alias("repeats"), gone.alias("n_removed"), F.coalesce("removed_chars", zero).alias("removed_chars"), F.coalesce(spans, F.lit("")).alias("spans"), "n_units")
 
 
 def dedup(docs: DataFrame, separator: str = "\n", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the removed lines cut from ``text``, a separator with each, and ``removed_spans`` in offsets of the
-    original. A null text stays null."""
+    original (``removed_spans_2``, and so on, where ``docs`` has such a column). A null text stays null."""
     rows = numbered(docs, "lines-docs")
     _, gone = removed(rows, separator, least)
     lists = gone.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "start", "stop"))).alias("__llm_gone")).withColumnRenamed("row", "__llm_id")
@@ -97,4 +97,4 @@ def dedup(docs: DataFrame, separator: str = "\n", least: int = LEAST_WORDS) -> D
     numbers = F.transform("__llm_gone", lambda g: g["line"])
     kept = F.array_join(F.filter(F.split(rows["text"], F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")), -1), lambda _, i: ~F.array_contains(numbers, i.cast("bigint"))), separator)
     text = F.when(F.col("__llm_gone").isNull(), rows["text"]).otherwise(kept)
-    return joined.select(*((text.alias(c) if c == "text" else rows[c]) for c in docs.columns), F.transform("__llm_gone", lambda g: F.struct(g["start"].alias("start"), g["stop"].alias("stop"))).alias("removed_spans"))
+    return joined.select(*((text.alias(c) if c == "text" else rows[c]) for c in docs.columns), F.transform("__llm_gone", lambda g: F.struct(g["start"].alias("start"), g["stop"].alias("stop"))).alias(free_name("removed_spans", docs.columns)))

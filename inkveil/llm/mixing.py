@@ -13,7 +13,8 @@ remains: of the at most four outcomes the one nearest to the totals is taken.
 
 Defined results. Null or empty text: size 0, taken 0. Null source: a source of its own, the last in order. Rows with
 equal or null doc_id are documents of their own. A source without words has target 0. Results don't depend on how the
-table is cut into tasks, as the numbered sizes are written once and blocks are seeded by their number.
+table is cut into files or tasks: blocks, their order and their seeds follow from hashes of doc_id and text, and rows with
+equal ones are interchangeable. Row numbers only carry decisions back.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import drop_stored, numbered, partitions, stored
+from inkveil.llm.common import drop_stored, free_name, numbered, partitions, stored
 from inkveil.llm.quality import word_array
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), (3, 2), 2, 20240501
@@ -116,31 +117,31 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _fly(seed: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row"], kind="stable")
+        pdf = pdf.sort_values(["h", "size", "p"], kind="stable")
         size = pdf["size"].to_numpy()
         p = flight(size, pdf["p"].to_numpy(), random.Random(f"{seed}:{':'.join(map(str, key))}"))
-        return pdf.assign(p=landing(size, p) if last else p)[["row", "place", "block", "size", "p"]]
+        return pdf.assign(p=landing(size, p) if last else p)[["row", "place", "block", "h", "size", "p"]]
 
     return run
 
 
-_UNITS = "row bigint, place int, block bigint, size bigint, p double"
+_UNITS = "row bigint, place int, block bigint, h bigint, size bigint, p double"
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, seed: int = SEED, block: int = BLOCK, fan_in: int = FAN_IN) -> DataFrame:
     """``(doc_id, size, source_size, target, copies, taken)``: a row a document, ``taken = copies * size``."""
-    sizes = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    sizes = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.monotonically_increasing_id().alias("row")), "sizes")
     sources = stored(targets(sizes, weights, share, most), "sources")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + _EPS)
     rows = sizes.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
     rows = stored(
-        rows.select("row", "doc_id", "size", "source_size", "target", "place", "n_docs", whole.cast("bigint").alias("whole"), F.greatest(ratio - whole, F.lit(0.0)).alias("p")),
+        rows.select("row", "doc_id", "h", "size", "source_size", "target", "place", "n_docs", whole.cast("bigint").alias("whole"), F.greatest(ratio - whole, F.lit(0.0)).alias("p")),
         "rated",
     )
     drop_stored(sizes)
     n_blocks = F.ceil(F.col("n_docs") / block)
-    units = rows.filter(F.col("p") > _EPS).select("row", F.col("place").cast("int"), F.pmod(F.xxhash64("row"), n_blocks).cast("bigint").alias("block"), "size", "p")
+    units = rows.filter(F.col("p") > _EPS).select("row", F.col("place").cast("int"), F.pmod("h", n_blocks).cast("bigint").alias("block"), "h", "size", "p")
     decided, most_blocks = [], sources.select(F.max(F.ceil(F.col("n_docs") / block)).alias("n")).first()["n"] or 1
     while True:
         last = most_blocks <= 1
@@ -151,7 +152,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
             break
         flown = stored(flown, "flown")
         decided.append(flown.filter("p = 1"))
-        units = flown.filter("p > 0 and p < 1").select("row", "place", F.floor(F.col("block") / fan_in).cast("bigint").alias("block"), "size", "p")
+        units = flown.filter("p > 0 and p < 1").select("row", "place", F.floor(F.col("block") / fan_in).cast("bigint").alias("block"), "h", "size", "p")
         most_blocks = -(-most_blocks // fan_in)
     taken = decided[0].select("row")
     for d in decided[1:]:
@@ -167,7 +168,8 @@ def compared(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, numbered from 0 in ``copy_no``.
+    """``docs`` as the mix takes them: each row as often as it is taken, numbered from 0 in ``copy_no`` (``copy_no_2``,
+    and so on, where ``docs`` has such a column).
 
     The rows are numbered once, in a stored table, and taken by number: each by itself, whatever its doc_id.
     """
@@ -175,4 +177,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = mix(rows.select(F.col("__llm_row").alias("doc_id"), "source", "text")).filter("copies > 0").select(F.col("doc_id").alias("__llm_taken"), F.col("copies").alias("__llm_n"))
     joined = rows.join(taken, rows["__llm_row"] == taken["__llm_taken"])
     numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__llm_n") - 1))
-    return joined.select(*(rows[c] for c in docs.columns), numbers.alias("copy_no"))
+    return joined.select(*(rows[c] for c in docs.columns), numbers.alias(free_name("copy_no", docs.columns)))

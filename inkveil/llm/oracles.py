@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm import quality
+from inkveil.llm import decontaminate, quality
 
 _W = "[\\x20\\x09-\\x0D]+"
 
@@ -59,7 +59,7 @@ def secrets_sql(documents: str = "documents") -> str:
         ("assign", f"({keys})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12),
         ("access", "AKIA[A-Z0-9]+", 0, 18),
         ("hex", "[0-9a-f]+", 0, 16),
-        ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+        ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
         ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
         ("slack", "xox[bpars]-[A-Za-z0-9-]{10,}", 0, 1),
         ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1),
@@ -93,14 +93,22 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, {split} AS w FROM {document
 b AS (SELECT item_id, {split} AS w FROM {benchmark}),
 q AS (SELECT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM b WHERE len(w) > 0)),
+t AS (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS pos FROM d),
+uw AS (SELECT g, unnest(list_distinct(string_split(g, ' '))) AS t FROM (SELECT DISTINCT g FROM q)),
+c AS (SELECT t, count(*) AS c FROM t WHERE t IN (SELECT t FROM uw) GROUP BY t),
+rare AS (SELECT g, t, need FROM (SELECT uw.g, uw.t, c.c, count(*) OVER (PARTITION BY g) AS need, row_number() OVER (PARTITION BY g ORDER BY c NULLS FIRST, t) AS n FROM uw LEFT JOIN c USING (t)) WHERE n = 1 AND c IS NOT NULL),
+anchor AS (SELECT g, need, r, pos FROM rare JOIN t USING (t)),
+close AS (SELECT a.g, a.r, a.pos FROM anchor a JOIN t ON t.r = a.r AND t.pos BETWEEN a.pos - {decontaminate.NEAR} AND a.pos + {decontaminate.NEAR} JOIN uw ON uw.g = a.g AND uw.t = t.t
+  GROUP BY a.g, a.r, a.pos, a.need HAVING count(DISTINCT t.t) = a.need),
+near AS (SELECT r, count(DISTINCT item_id) AS n FROM close JOIN q USING (g) GROUP BY r),
 p AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n)),
 h AS (SELECT DISTINCT r, p.n, k, item_id FROM p JOIN q ON p.g = q.g AND p.n = q.n),
 hit AS (SELECT r, count(DISTINCT k + j) AS n_hit FROM (SELECT DISTINCT r, n, k FROM h), (SELECT unnest(range(0, 10)) AS j) WHERE j < n GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM h WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near.n, 0) AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)"""
 
 
 def lines_sql(documents: str = "documents") -> str:
@@ -111,9 +119,10 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text,
 l AS (SELECT r, doc_id, unnest(ls) AS l, unnest(range(0, len(ls))) AS line FROM d),
 o AS (SELECT r, doc_id, line, l, sum(length(l) + 1) OVER (PARTITION BY r ORDER BY line ROWS UNBOUNDED PRECEDING) - length(l) - 1 AS start,
   list_filter(regexp_split_to_array(l, '{_W}'), lambda x: x <> '') AS w FROM l),
-u AS (SELECT r, doc_id, line, start, start + length(l) AS stop, {norm} AS norm FROM o WHERE len(w) >= 8),
-k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, line) AS n FROM u),
+u AS (SELECT r, doc_id, line, start, start + length(l) AS stop, {norm} AS norm FROM o WHERE len(w) >= 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, line, r) AS n FROM u),
 g AS (SELECT r, count(*) AS n_units, count(*) FILTER (n > 1) AS n_removed, CAST(coalesce(sum(stop - start) FILTER (n > 1), 0) AS BIGINT) AS removed_chars,
   coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start) FILTER (n > 1), '') AS spans FROM k GROUP BY r)
-SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(spans, '') AS spans,
+  coalesce(n_removed, 0) > 0 AS repeats
 FROM d LEFT JOIN g USING (r)"""

@@ -1,16 +1,24 @@
-"""Secret scans (native): a trigram prefilter selects candidates, regular expressions verify them.
+"""Secret scans (native): a trigram inverted index selects candidates, regular expressions verify them.
 
-From each rule's regular expression a Boolean trigram query is derived (:mod:`inkveil.llm.trigrams`). There
-is no index: each text is tested for the trigrams of each rule's query, row by row, so that nothing is shuffled, but
-nothing is looked up either. Rules without mandatory trigrams scan every text. :func:`postings` gives an inverted
-index of the same trigrams as rows; the scan doesn't use it.
+1. From each rule's regular expression a Boolean trigram query is derived (:mod:`inkveil.llm.trigrams`): clauses that must
+   all hold, each a choice of trigram sets.
+2. :func:`postings` is the inverted index of the trigrams that the rules use: rows ``(trigram, key)``, stored in order of
+   the trigram. A list is cut by ranges of trigram and key, so that one which a third of all texts are in is many parts.
+3. :func:`candidates` intersects the lists: merged by key, each text has the set of lists it is in, as bits (a partial
+   ``bit_or``, so nothing is gathered), and a rule's query is a Boolean expression over them.
+4. Candidates are joined back to the texts and verified. Their list is a stored table, so Spark knows its size: below the
+   broadcast threshold the texts stay where they are, else the join sorts and the adaptive skew join splits hot keys.
+
+A text's key is a 64-bit hash of the text itself, so no number has to be kept with the rows: copies have one key, and
+texts whose hashes collide share their candidates, which costs a needless verification and never loses a match. Rules
+without mandatory trigrams (``hex``) scan every text.
 
 Offsets are code points, ends exclusive. Matches of a kind are leftmost and don't overlap; matches that fail the
 rule's length are dropped after they have taken their characters. Letters fold in ASCII only.
 
-Defined results. Null text: as empty, no spans, digest of the empty string. Repeated rows: each by itself. Spans of
-different kinds may overlap or coincide; all are returned, ordered by start, then by the order of ``RULES``. Other
-columns are never read by :func:`scan`; :func:`redact` keeps them, whatever their names.
+Defined results. Null text: as empty, no spans, digest of the empty string. Empty table: no rows. Repeated rows: each by
+itself. Spans of different kinds may overlap or coincide; all are returned, ordered by start, then by the order of
+``RULES``. Other columns are never read by :func:`scan`; :func:`redact` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import trigrams
-from inkveil.llm.common import let
+from inkveil.llm.common import let, partitions, stored
 
 
 @dataclass(frozen=True)
@@ -45,7 +53,7 @@ RULES = (
     Rule("assign", f"({_KEYS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, base=True),
     Rule("access", "AKIA[A-Z0-9]+", 0, 18, base=True),
     Rule("hex", "[0-9a-f]{16,}", 0, 16, base=True),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", "(ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9]{36,}"),
     Rule("slack", "(xoxb-|xoxp-|xoxa-|xoxr-|xoxs-)[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
@@ -55,8 +63,8 @@ RULES = (
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def candidate(rule: Rule, has) -> Column:
-    """Whether the postings that ``has`` looks up satisfy the rule's trigram query."""
+def satisfied(rule: Rule, has) -> Column:
+    """The rule's trigram query; ``has`` says of a trigram whether the text is in its list."""
     clauses = trigrams.query(rule.pattern)
     if not clauses:
         return F.lit(True)
@@ -92,21 +100,53 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
     )
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index as rows ``(trigram, doc_id)``: the trigrams of the rules' queries and the documents that hold them."""
-    grams = sorted(set().union(*(trigrams.trigrams(trigrams.query(r.pattern)) for r in rules)))
-    held = F.filter(F.lit(grams), lambda t: F.contains(F.col("low"), t))
-    low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    return low.select(F.explode(held).alias("trigram"), "doc_id")
+def _grams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted(set().union(*(trigrams.trigrams(trigrams.query(r.pattern)) for r in rules)))
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The index of ``texts(text)``, none null: stored rows ``(trigram, key)``, in order of trigram and key."""
+    held = lambda low: F.filter(F.lit(_grams(rules)), lambda t: F.contains(low, t))
+    rows = texts.select(_key(F.col("text")).alias("key"), let(F.lower("text"), held).alias("held")).filter(F.size("held") > 0)
+    spread = rows.select(F.explode("held").alias("trigram"), "key").repartitionByRange(partitions(texts.sparkSession), "trigram", "key")
+    return stored(spread.sortWithinPartitions("trigram", "key"), "postings")
 
 
-def spans_column(text: Column, low: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All spans of one text, in order. ``low`` is the text in lower case."""
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``(key, rules)``, stored: the texts that satisfy some rule's query, and a bit for each such rule."""
+    place = {t: k for k, t in enumerate(_grams(rules))}
+    n_words = -(-len(place) // 63)
+    slot = F.col("slot")
+    slots = index.select("key", F.element_at(F.create_map(*(F.lit(x) for item in place.items() for x in item)), F.col("trigram")).alias("slot"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot % 63)
+    merged = slots.groupBy("key").agg(*(F.bit_or(F.when(F.floor(slot / 63) == w, one).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(n_words)))
+    has = lambda t: F.col(f"w{place[t] // 63}").bitwiseAND(F.lit(1 << place[t] % 63)) != 0
+    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(satisfied(r, has), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(rules) if trigrams.query(r.pattern)))
+    return stored(merged.select("key", bits.cast("bigint").alias("rules")).filter("rules <> 0"), "candidates")
+
+
+def spans_column(text: Column, chosen: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All spans of one text, in order. ``chosen`` has a bit for each rule to verify; those without a query always are."""
     none = F.array().cast(_SPANS)
-    found = [F.when(candidate(r, lambda t: F.contains(low, F.lit(t))), _spans(text, r, k)).otherwise(none) for k, r in enumerate(rules)]
+    found = [F.when(chosen.bitwiseAND(F.lit(1 << k)) != 0, _spans(text, r, k)).otherwise(none) if trigrams.query(r.pattern) else _spans(text, r, k) for k, r in enumerate(rules)]
     return F.sort_array(F.concat(*found))
 
 
+def _scanned(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``texts(row, text)`` with ``secrets``."""
+    if any(trigrams.query(r.pattern) for r in rules):
+        chosen = candidates(postings(texts.select("text"), rules), rules).withColumnRenamed("key", "__key")
+        keyed = texts.withColumn("__own", _key(F.col("text")))
+        texts = keyed.join(chosen, keyed["__own"] == chosen["__key"], "left").select("row", "text", F.coalesce("rules", F.lit(0).cast("bigint")).alias("chosen"))
+    else:
+        texts = texts.select("row", "text", F.lit(0).cast("bigint").alias("chosen"))
+    return texts.select("row", "text", spans_column(F.col("text"), F.col("chosen"), rules).alias("secrets"))
+
+
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     kinds = F.lit([r.kind for r in rules])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -114,9 +154,8 @@ def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(doc_id, secrets)``: every span of every text, an array of ``(start, kind, end)`` in order."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low = texts.select("doc_id", "text", F.lower("text").alias("low"))
-    return low.select("doc_id", spans_column(F.col("text"), F.col("low"), rules).alias("secrets"))
+    texts = docs.select(F.col("doc_id").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return _scanned(texts, rules).select(F.col("row").alias("doc_id"), "secrets")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -153,9 +192,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Null texts stay null. All columns stay; the row travels as one struct, so names can't clash.
     """
-    x = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    x = x.select("row", "text", F.lower("text").alias("low"))
-    x = x.select("row", "text", spans_column(F.col("text"), F.col("low"), rules).alias("secrets"))
+    x = _scanned(docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text")), rules)
     x = x.select("row", F.when(F.col("row.text").isNotNull(), redacted(F.col("text"), F.col("secrets"), rules)).alias("text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return x.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

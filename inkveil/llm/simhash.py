@@ -6,8 +6,9 @@ the fingerprint is 1 if it is set in over half the hashes. Fingerprints link at
 The join works on distinct fingerprints with their numbers of documents, so copies never meet as pairs. Of
 ``BUDGET + 1`` blocks of bits two linked fingerprints agree in one at least; each fingerprint goes to one bucket a
 block. A bucket larger than ``SPLIT`` is not joined but split the same way by blocks of its remaining bits, twice at
-most, so that a hot bucket becomes up to a hundred thousand others. In a bucket the fingerprints form a binary trie; pairs of nodes are traversed together, level by level, with the bits in
-which they differ added up, and a pair is pruned once its sum exceeds the budget. Of the blocks in which a pair agrees
+most, so that a hot bucket becomes up to a hundred thousand others. In a bucket the fingerprints form a binary trie;
+pairs of nodes are traversed together, level by level, with the bits in which they differ added up, and a pair is pruned
+once its sum exceeds the budget. Of the blocks in which a pair agrees
 the first counts it, so it counts once. A bucket returns, for each fingerprint, how many documents it links and one
 edge of a spanning forest: no list of pairs leaves a task.
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import drop_stored, partitions, stored
+from inkveil.llm.common import drop_stored, numbered, partitions, stored
 from inkveil.llm.components import components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -37,6 +38,8 @@ SPLIT = 4096
 LEVELS = 3
 #: Node pairs that one traversal holds at once; larger frontiers are cut into pieces.
 FRONTIER = 1 << 20
+#: Fingerprints of whole buckets that a task joins at once.
+RUN = 1 << 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -67,6 +70,13 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(values), pa.int64())], names=["doc_id", "fp"])
 
 
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc = batch.column(0)
+        values = np.array([fingerprint(t.as_py() or b"") for t in batch.column(1)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([doc.field(0), doc.field(1), doc.field(2), pa.array(_signed(values), pa.int64())], names=["row", "doc_id", "h", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``, ``fp`` as a signed 64-bit integer; one row a document."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
@@ -195,18 +205,38 @@ def join_buckets(path: list[tuple[int, ...]], key: np.ndarray, fp: np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by bucket, in runs of whole buckets: ``most`` rows, or as many more as the last bucket has."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        path, key = batch.column("path").to_pylist(), batch.column("key").to_numpy()
+        begin = 0
+        if held and size >= most:
+            last = (held[-1].column("path")[-1].as_py(), held[-1].column("key")[-1].as_py())
+            while begin < len(key) and (path[begin], key[begin]) == last:
+                begin += 1
+            if begin < len(key):
+                yield pa.Table.from_batches([*held, batch.slice(0, begin)])
+                held, size = [], 0
+            else:
+                begin = 0
+        if batch.num_rows > begin:
+            held.append(batch.slice(begin))
+            size += batch.num_rows - begin
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition holds whole buckets; they are joined in runs of some thousand rows, never cut inside a bucket."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    path = [tuple(map(int, p)) for p in table.column("path").to_pylist()]
-    key, fp, n = (table.column(c).to_numpy() for c in ("key", "fp", "n"))
-    v, linked, root = join_buckets(path, key, fp.view(np.uint64), n)
-    for k in range(0, len(v), 1 << 16):
-        part = slice(k, k + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(v[part])), pa.array(linked[part]), pa.array(_signed(root[part]))], names=["fp", "linked", "root"])
+    """The buckets of a partition, sorted by bucket, joined in runs of some ten thousand rows, never cut inside a bucket."""
+    for table in _whole_buckets(batches, RUN):
+        path = [tuple(map(int, p)) for p in table.column("path").to_pylist()]
+        key, fp, n = (table.column(c).to_numpy() for c in ("key", "fp", "n"))
+        v, linked, root = join_buckets(path, key, fp.view(np.uint64), n)
+        for k in range(0, len(v), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(v[part])), pa.array(linked[part]), pa.array(_signed(root[part]))], names=["fp", "linked", "root"])
 
 
 def _keys(path: tuple[int, ...]) -> list[tuple[str, int]]:
@@ -239,7 +269,7 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
             rows = stored(exploded.join(hot, ["path", "key"], "left_semi").select("path", "fp", "n"), "hot-rows")
         else:
             cool, rows = exploded, None
-        parts.append(cool.repartition(n_out, "path", "key").mapInArrow(_join, "fp bigint, linked bigint, root bigint"))
+        parts.append(cool.repartition(n_out, "path", "key").sortWithinPartitions("path", "key").mapInArrow(_join, "fp bigint, linked bigint, root bigint"))
         depth += 1
     out = parts[0]
     for p in parts[1:]:
@@ -249,10 +279,16 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
 
 def cluster(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, n_near, component_id)``, a row a document."""
-    return _clustered(stored(fingerprints(docs), "fingerprints"))
+    prints = stored(fingerprints(docs), "fingerprints")
+    return prints.join(_clusters(prints), "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
-def _clustered(prints: DataFrame) -> DataFrame:
+def _clusters(prints: DataFrame) -> DataFrame:
+    """``(fp, n_near, component_id, root)``, stored: a row a fingerprint; ``root`` is the same throughout a component.
+
+    Joined with ``prints``, a fingerprint's documents may be a third of all rows: they stay where they are if its row
+    can be broadcast by size; otherwise the adaptive skew join splits them.
+    """
     distinct = stored(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "distinct")
     found = stored(links(distinct.select("fp", "n")), "links")
     # Nodes are fingerprints; what they reach least is found by fingerprint, then turned into the least doc_id.
@@ -261,15 +297,13 @@ def _clustered(prints: DataFrame) -> DataFrame:
     node = tree.select(F.col("node").alias("fp"), "root")
     joined = distinct.join(linked, "fp", "left").join(node, "fp", "left").select("fp", "n", "first", F.coalesce("linked", F.lit(0).cast("bigint")).alias("linked"), "root")
     least = joined.filter("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
-    per = stored(
-        joined.join(least, "root", "left").select("fp", (F.col("n") - 1 + F.col("linked")).alias("n_near"), F.coalesce("component_id", "first").alias("component_id")),
-        "clusters",
-    )
+    per = joined.join(least, "root", "left").select(
+        "fp", (F.col("n") - 1 + F.col("linked")).alias("n_near"), F.coalesce("component_id", F.when(F.col("root").isNull(), F.col("first"))).alias("component_id"), F.coalesce("root", "fp").alias("root"),
+    )
+    per = stored(per, "clusters")
     drop_stored(found)
     drop_stored(distinct)
-    # A fingerprint's documents may be a third of all rows: they stay where they are if its row can be broadcast
-    # by size; otherwise the adaptive skew join splits them.
-    return prints.join(per, "fp").select("doc_id", "fp", "n_near", "component_id")
+    return per
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -278,10 +312,20 @@ def compared(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` to keep: of each component those with its least doc_id, and those without an id.
+    """One row of ``docs`` of each component, with all its columns: the one with the least doc_id, those without an id last.
 
-    Of rows that repeat a kept doc_id, one stays. All columns stay.
+    Rows that repeat an id are documents of their own; of equals the one whose text hashes least stays, so the choice
+    doesn't depend on how the table is cut. The rows are numbered once, in a stored table. The numbers of
+    those that go are stored, so that Spark knows their size: few are broadcast, and the texts stay where they are.
     """
-    keep = cluster(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__llm_doc_id")).distinct()
-    once = docs.join(keep, docs["doc_id"].cast("bigint") == keep["__llm_doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = numbered(docs, "simhash-docs")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = rows.select("__llm_row", F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.encode(text, "UTF-8").alias("text"))
+    prints = stored(base.select(F.struct("__llm_row", "doc_id", "h").alias("doc"), "text").mapInArrow(_hash_rows, "row bigint, doc_id bigint, h bigint, fp bigint"), "fingerprints")
+    roots = _clusters(prints.select("doc_id", "fp")).select("fp", "root")
+    ranked = prints.join(roots, "fp").select("root", "row", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "row").alias("rank"))
+    first = ranked.groupBy("root").agg(F.min("rank").alias("first"))
+    # Only components of two rows or more lose any, so the join that finds the losers leaves single rows out.
+    many = ranked.groupBy("root").count().filter("count > 1").select("root")
+    losers = stored(ranked.join(first.join(many, "root"), "root").filter("row <> first.row").select(F.col("row").alias("__llm_gone")), "copies")
+    return rows.join(losers, rows["__llm_row"] == losers["__llm_gone"], "left_anti").drop("__llm_row")

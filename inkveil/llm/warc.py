@@ -10,7 +10,8 @@ Of records with equal payloads of ``LEAST_BYTES`` or more, the one with the leas
 revisit it. Digests, not payloads, are grouped; the payload moves once at most, by page, so copies of one page, however
 many, meet in no task.
 
-Defined results. Null html: an empty payload. Null url: no target URI. Null page_id: its record has no id field; with a
+Defined results. Null html: an empty payload. Null url: no target URI. A url comes back as it was, escapes and all:
+where it holds what a header can't, a second field keeps the original. Null page_id: its record has no id field; with a
 payload that others have it revisits them, if they have an id. Rows that repeat the least page_id of a payload are all
 responses. Reading checks each payload's SHA-256 against its record and raises if they differ. Empty table: no files.
 """
@@ -37,6 +38,7 @@ TRAIN_BYTES, DICT_BYTES, FILE_BYTES = 2 << 20, 64 << 10, 256 << 20
 LEVEL = 6
 MAGIC = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
+_URI = "!#$%&'()*+,/:;=?@[]~"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -57,7 +59,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if url is not None:
-        fields.append(("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]~")))
+        uri = quote(url, safe=_URI, errors="surrogatepass")
+        fields.append(("WARC-Target-URI", uri))
+        if uri != url:  # what can't stand in a header is escaped; as escapes of its own stay, the way back isn't certain
+            fields.append(("WARC-X-Target", quote(url, safe="", errors="surrogatepass")))
     if page_id is not None:
         fields.append(("WARC-X-Page-ID", str(page_id)))
     if refers_to is not None:
@@ -194,8 +199,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"{file}: payload of {fields['WARC-Record-ID']} doesn't match its digest")
                 length = int(head.rpartition(b"Content-Length: ")[2])
                 integer = lambda name: int(fields[name]) if name in fields else None  # noqa: E731, B023
-                url = fields.get("WARC-Target-URI")
-                rows.append((integer("WARC-X-Page-ID"), None if url is None else unquote(url), length, digest, kind, integer("WARC-X-Refers-To-Page-ID"), payload if kind == "response" else None))
+                url = unquote(fields["WARC-X-Target"], errors="surrogatepass") if "WARC-X-Target" in fields else fields.get("WARC-Target-URI")
+                rows.append((integer("WARC-X-Page-ID"), url, length, digest, kind, integer("WARC-X-Refers-To-Page-ID"), payload if kind == "response" else None))
                 size += len(block)
                 n += 1
                 if size > 8 << 20:

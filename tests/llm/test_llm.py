@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def test_oracles_on_odd_rows(spark, odd, tmp_path):
     odd.select("doc_id", "text").write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
-    for got, sql in ((quality.compared(odd), oracles.quality_sql()), (secrets.compared(odd), oracles.secrets_sql())):
+    for got, sql in ((quality.compared(odd), oracles.quality_sql()), (secrets.compared(odd), oracles.secrets_sql()), (lines.compared(odd), oracles.lines_sql())):
         result = con.execute(sql)
         names = [d[0] for d in result.description]
         same([tuple(r[c] for c in names) for r in got.collect()], result.fetchall())
@@ -89,14 +90,31 @@ def test_trigram_queries_are_mandatory():
     assert trigrams.query("[0-9a-f]{16,}") == () and trigrams.query("(abc|x)d?") == ()
 
 
-def test_postings_give_the_candidates(spark, small):
-    rows = secrets.postings(small).collect()
+def test_the_index_gives_the_candidates(spark, small):
+    texts = small.select(F.coalesce("text", F.lit("")).alias("text"))
+    index = secrets.postings(texts)
+    rows = index.collect()
+    key = {r["text"]: r["k"] for r in texts.select("text", F.xxhash64("text").alias("k")).collect()}
     held = defaultdict(set)
     for r in rows:
-        held[r["doc_id"]].add(r["trigram"])
-    low = {r["doc_id"]: (r["text"] or "").lower() for r in small.collect()}
-    grams = {r["trigram"] for r in rows}
-    assert all(held[d] == {t for t in grams if t in text} for d, text in low.items())
+        held[r["key"]].add(r["trigram"])
+    grams = set().union(*(trigrams.trigrams(trigrams.query(r.pattern)) for r in secrets.RULES))
+    assert len(key) == len(set(key.values()))
+    assert all(held[k] == {t for t in grams if t in text.lower()} for text, k in key.items())
+    chosen = {r["key"]: r["rules"] for r in secrets.candidates(index).collect()}
+    for text, k in key.items():
+        low, bits = text.lower(), 0
+        for n, rule in enumerate(secrets.RULES):
+            clauses = trigrams.query(rule.pattern)
+            bits |= (bool(clauses) and all(any(all(t in low for t in grams) for grams in clause) for clause in clauses)) << n
+        assert chosen.get(k, 0) == bits
+
+
+def test_long_texts_and_labels_of_keys(spark):
+    label = "VERY " * 30
+    text = "x " * 200_000 + f"-----BEGIN {label}PRIVATE KEY-----" + " y" * 200_000
+    got = secrets.compared(docs_of(spark, text)).first()
+    assert got["spans"] == f"private_key:400000:{400000 + len(label) + 27}"
 
 
 def test_secret_spans_count_code_points(spark):
@@ -112,6 +130,7 @@ def test_redaction_of_secrets(spark, odd):
     out = secrets.redact(docs_of(spark, "a token = abcdefabcdefabcdef b", "clean", None)).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["a [SECRET:assign] b", "clean", None] and out[0]["n_chars"] == len(out[0]["text"])
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == odd.count()
+    assert secrets.compared(odd.limit(0)).count() == secrets.redact(odd.limit(0)).count() == 0
 
 
 # --- 2: mixing
@@ -168,6 +187,18 @@ def test_mix_reruns_and_odd(spark, odd):
     assert set(odd.columns) < set(mixing.mixed(odd).columns)
 
 
+def test_mix_does_not_depend_on_the_files(spark, small, tmp_path):
+    small.repartition(7).write.parquet(str(tmp_path / "seven"))
+    one, seven = (sorted(map(repr, mixing.compared(d).collect())) for d in (small, spark.read.parquet(str(tmp_path / "seven"))))
+    assert one == seven
+
+
+def test_added_names_are_free(spark):
+    docs = docs_of(spark, "a b", "a b\nc").withColumn("copy_no", F.lit(1)).withColumn("Removed_Spans", F.lit(1))
+    assert mixing.mixed(docs).columns == [*docs.columns, "copy_no_2"] and mixing.mixed(docs).count() > 0
+    assert lines.dedup(docs).columns == [*docs.columns, "removed_spans_2"] and lines.dedup(docs).count() == 2
+
+
 # --- 3: chats
 
 
@@ -292,29 +323,58 @@ def test_components(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in list(root) if x != 5 or True}
+    assert got == {x: find(x) for x in list(root)}
 
 
-def test_one_of_each_group_stays(spark, odd):
-    kept = simhash.representatives(odd)
-    assert kept.columns == odd.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8] or 6 not in ids
-    assert ids.count(1) == 1
+def test_one_of_each_group_stays(spark, odd, tmp_path):
+    """Of each component one row, the least id, rows without an id last; which one doesn't depend on the files."""
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(1, "a text of its own with the id of another row"), (None, "nobody knows this one")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).withColumn("row", F.lit(1)).withColumn("fp", F.lit(1))
+    fps = [brute_fingerprint(t) for _, t in rows]
+    groups, todo = [], set(range(len(rows)))
+    while todo:
+        group, new = set(), {min(todo)}
+        while new:
+            group |= new
+            new = {j for j in todo for i in new if (fps[i] ^ fps[j]).bit_count() <= 4} - group
+        todo -= group
+        groups.append(group)
+    want = sorted(repr(min((rows[k][0] is None, rows[k][0]) for k in g)) for g in groups)
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(repr((i is None, i)) for i, _ in got) == want and (None, "nobody knows this one") in got
+    df.repartition(5).write.parquet(str(tmp_path / "five"))
+    again = [(r["doc_id"], r["text"]) for r in simhash.representatives(spark.read.parquet(str(tmp_path / "five"))).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    assert simhash.representatives(df.limit(0)).count() == 0
+
+
+def test_buckets_are_joined_whole():
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 40, 900))
+    batches = [pa.RecordBatch.from_pydict({"path": ["0"] * len(k), "key": k}) for k in np.array_split(key, 13)]
+    tables = list(simhash._whole_buckets(iter(batches), 50))
+    assert np.concatenate([t.column("key").to_numpy() for t in tables]).tolist() == key.tolist() and len(tables) > 5
+    seen = [set(t.column("key").to_pylist()) for t in tables]
+    assert all(not (a & b) for a, b in itertools.combinations(seen, 2))
 
 
 # --- 5: decontamination
 
 
+def item_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
 def brute_hits(text, items):
-    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    w, hit, held = words(text), set(), set()
+    w, hit, held = item_words(text), set(), set()
     places: dict = {}
-    for n in {min(10, len(words(t))) for _, t in items} - {0}:
+    for n in {min(10, len(item_words(t))) for _, t in items} - {0}:
         for s in range(len(w) - n + 1):
             places.setdefault(tuple(w[s : s + n]), []).append(s)
     for item, t in items:
-        q = words(t)
+        q = item_words(t)
         for k in range(max(1, len(q) - 9) if q else 0):
             g = q[k : k + 10]
             for s in places.get(tuple(g), []):
@@ -324,24 +384,64 @@ def brute_hits(text, items):
     return len(w), len(hit), len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), bool(hit)
 
 
+def brute_near(texts, items, within):
+    """For each text the items with a window whose words all lie within ``within`` words of its rarest word, and where."""
+    count = Counter(w for t in texts for w in item_words(t))
+    found = [(set(), set()) for _ in texts]
+    for item, t in items:
+        q = item_words(t)
+        for k in range(max(1, len(q) - 9) if q else 0):
+            g = q[k : k + 10]
+            rare = min(g, key=lambda w: (count[w], w.encode()))
+            for (held, at), text in zip(found, texts):
+                w = item_words(text)
+                for p in (p for p, x in enumerate(w) if x == rare and set(g) <= set(w[max(0, p - within) : p + within + 1])):
+                    at.add(p)
+                    if item is not None:
+                        held.add(str(item))
+    return [(sorted(a), sorted(b)) for a, b in found]
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
-    items = [(k, prose(rng, rng.choice([0, 3, 9, 10, 25]), 6)) for k in range(12)] + [(1, "w1 w2 w1"), (None, "w3 w3"), (20, None)]
+    items = [(k, prose(rng, rng.choice([0, 3, 9, 10, 25]), 6)) for k in range(12)] + [(1, "w1 w2 w1"), (None, "w3 w3"), (20, None), (21, "w1 unseen w2")]
     texts = [prose(rng, rng.randint(0, 80), 6).upper() for _ in range(60)] + [None, "", "é—w3 W3,W3"]
     docs, bench = docs_of(spark, *texts), spark.createDataFrame(items, "item_id long, text string")
-    want = [(k, *brute_hits(t, items)) for k, t in enumerate(texts)]
+    near = brute_near(texts, items, decontaminate.NEAR)
+    want = [(k, *brute_hits(t, items), len(near[k][0])) for k, t in enumerate(texts)]
     same([tuple(r) for r in decontaminate.compared(docs, bench).collect()], want)
     one = sorted(map(repr, decontaminate.scan(docs, bench).collect()))
-    assert sorted(map(repr, decontaminate.scan(docs, bench, block_bytes=60).collect())) == one
+    assert sorted(map(repr, decontaminate.scan(docs, bench, segment_bytes=200).collect())) == one  # any cut into segments
     left = [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()]
     assert sorted(left) == [w[0] for w in want if not w[5]]
     assert decontaminate.compared(docs, bench.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.compared(docs.limit(0), bench).count() == 0
+
+
+def test_blocks_of_windows_find_what_one_block_finds(spark):
+    """Of exact hits; which word of a window is rarest doesn't depend on the block either."""
+    rng = random.Random(19)
+    items = [(k, prose(rng, 14, 8)) for k in range(9)]
+    docs, bench = docs_of(spark, *(prose(rng, 60, 8) for _ in range(30)), *(t for _, t in items)), spark.createDataFrame(items, "item_id long, text string")
+    run = lambda **kw: sorted(map(repr, decontaminate.scan(docs, bench, window=3, **kw).collect()))
+    assert run(block_windows=20) == run()
+
+
+def test_decontamination_of_odd_rows(spark, odd):
+    items = [(1, "w1 w2"), (2, odd.filter("doc_id = 2").first()["text"]), (3, "é")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit(1)).withColumn("id", F.lit(1))
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    near = brute_near([t for _, t in rows], items, decontaminate.NEAR)
+    same([tuple(r) for r in decontaminate.compared(odd, bench).collect()], [(i, *brute_hits(t, items), len(n[0])) for (i, t), n in zip(rows, near)])
+    kept = decontaminate.clean(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == sum(not brute_hits(t, items)[4] for _, t in rows)
 
 
 def test_proximity(spark):
-    docs = docs_of(spark, "a b x y c", "a x x x x x c", "c b a", None)
-    got = {(r["doc_id"], r["position"]) for r in decontaminate.proximity(docs, [("p", "a c b")], 4).collect()}
-    assert {d for d, _ in got} == {0, 2}
+    texts = ["a b x y c", "a x x x x x c b", "c b a", None, "b b b c a"]
+    found = decontaminate.scan(docs_of(spark, *texts), spark.createDataFrame([("p", "a c b"), ("q", "b")], "item_id string, text string"), near=4).collect()
+    got = [(list(r["near"]), list(r["near_at"])) for r in sorted(found, key=lambda r: r["doc_id"])]
+    assert got == brute_near(texts, [("p", "a c b"), ("q", "b")], 4) and "p" in got[0][0] and "p" not in got[1][0]
 
 
 # --- 6: lines
@@ -357,7 +457,7 @@ def test_lines(spark, odd):
         out = []
         for line in t.split("\n"):
             key = " ".join(line.split()).lower()
-            if len(line.split()) >= lines.LEAST_WORDS and key in seen:
+            if line.split() and key in seen:
                 continue
             seen.add(key)
             out.append(line)
@@ -483,7 +583,7 @@ def test_multikey_order():
 
 def test_warc(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    more = [(900, None, None), (None, "u x", "é" * 300), (-1, "v", "é" * 300), (901, "w", "short"), (902, "w", "short"), (903, "y\r\nz: 1", "é" * 300), (-1, "v", "é" * 300)]
+    more = [(904, "https://x.org/a%20b?q=%2F", "percent " * 30), (905, "https://x.org/é b", "other " * 30), (900, None, None), (None, "u x", "é" * 300), (-1, "v", "é" * 300), (901, "w", "short"), (902, "w", "short"), (903, "y\r\nz: 1", "é" * 300), (-1, "v", "é" * 300)]
     pages = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(more, "page_id long, url string, html string"))
     first = {}
     rows = [(r["page_id"], r["url"], (r["html"] or "").encode()) for r in pages.collect()]
@@ -499,6 +599,9 @@ def test_warc(spark, sf, tmp_path):
     same([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], want)
     payload = {(i, u): b for i, u, b in rows}
     assert all(bytes(r["payload"]) == payload[r["page_id"], r["url"]] for r in got if r["record_type"] == "response")
+    assert sorted(map(repr, ((r["page_id"], r["url"]) for r in got))) == sorted(map(repr, ((i, u) for i, u, _ in rows)))
+    clash = pages.withColumn("digest", F.lit("x")).withColumn("first", F.lit(1)).withColumn("later", F.lit(1)).withColumn("payload", F.lit(None).cast("string"))
+    same([tuple(r) for r in warc.compared(clash).collect()], want)
     raw = open(files.first()["file"].removeprefix("file://"), "rb").read(4)
     assert raw == b"\x5d\x2a\x4d\x18"
     assert warc.compared(pages.limit(0)).count() == 0

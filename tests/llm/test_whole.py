@@ -59,8 +59,8 @@ def test_lines_of_rows_without_id_are_apart(spark):
     texts = ["once a\nboth x", "both x\nonce b", "once c\nboth x", "both x"]
     for key in (None, 7):
         docs = spark.createDataFrame([(key, t, "en", "s", None) for t in texts], SCHEMA)
-        out = lines.dedup(docs, least=1)
+        out = lines.dedup(docs)
         left = [line for r in out.collect() for line in r["text"].split("\n") if line]
         assert sorted(left) == ["both x", "once a", "once b", "once c"]
-        got = lines.compared(docs, least=1).collect()
+        got = lines.compared(docs).collect()
         assert sorted(r["n_units"] for r in got) == [1, 2, 2, 2] and sum(r["n_removed"] for r in got) == 3
