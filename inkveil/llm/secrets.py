@@ -3,7 +3,7 @@
 1. From each rule's regular expression a Boolean trigram query is derived (:mod:`inkveil.llm.trigrams`): clauses that must
    all hold, each a choice of trigram sets.
 2. :func:`postings` is the inverted index of the trigrams that the rules use: rows ``(trigram, key)``, stored in order of
-   the trigram. A list is cut by ranges of trigram and key, so that one which a third of all texts are in is many parts.
+   the trigram within ``PARTS`` parts a list, so that one which a third of all texts are in is no single task's.
 3. :func:`candidates` intersects the lists: merged by key, each text has the set of lists it is in, as bits (a partial
    ``bit_or``, so nothing is gathered), and a rule's query is a Boolean expression over them.
 4. Candidates are joined back to the texts and verified. Their list is a stored table, so Spark knows its size: below the
@@ -60,6 +60,8 @@ RULES = (
     Rule("stripe", "(sk_live_|rk_live_)[A-Za-z0-9]{16,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
 )
+#: Parts of a trigram's list.
+PARTS = 1024
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -110,9 +112,11 @@ def _key(text: Column) -> Column:
 
 def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The index of ``texts(text)``, none null: stored rows ``(trigram, key)``, in order of trigram and key."""
-    held = lambda low: F.filter(F.lit(_grams(rules)), lambda t: F.contains(low, t))
-    rows = texts.select(_key(F.col("text")).alias("key"), let(F.lower("text"), held).alias("held")).filter(F.size("held") > 0)
-    spread = rows.select(F.explode("held").alias("trigram"), "key").repartitionByRange(partitions(texts.sparkSession), "trigram", "key")
+    low = texts.select(_key(F.col("text")).alias("key"), F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in _grams(rules))))
+    # The outer form, as the other is preceded by a filter that computes the array once more.
+    rows = low.select("key", F.explode_outer(held).alias("trigram")).filter("trigram is not null").select("trigram", "key")
+    spread = rows.repartition(partitions(texts.sparkSession), "trigram", F.pmod("key", F.lit(PARTS)))
     return stored(spread.sortWithinPartitions("trigram", "key"), "postings")
 
 

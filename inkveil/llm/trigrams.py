@@ -14,7 +14,10 @@ Clause = frozenset[frozenset[str]]
 
 
 def _clause(strings: set[str]) -> list[Clause]:
-    grams = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings}
+    """One of the strings must be there: of each its first and its last trigram. Those between would rule out little more,
+    and every trigram is one more list to build. A string that holds another one says nothing more than that."""
+    strings = {s for s in strings if not any(t != s and t in s for t in strings)}
+    grams = {frozenset((s[:3], s[-3:])) if len(s) > 2 else frozenset() for s in strings}
     if not grams or frozenset() in grams:
         return []
     return [frozenset(g for g in grams if not any(h < g for h in grams))]
