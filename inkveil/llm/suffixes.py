@@ -12,7 +12,9 @@ anchors are sorted:
    neighbours; groups that reach a bucket's first or last row are compared across the boundary, by one summary a bucket.
 3. A suffix with no equal core elsewhere has no repeated window. One whose whole run is equal to another's is repeated
    throughout. Of the others (runs at the edge of a repeat), with one of each set of equal runs as partner, every window
-   is digested and counted.
+   is digested and counted: how far a repeat reaches to the left and to the right differs from partner to partner, so
+   the neighbours in the array don't settle it. Counts are partial sums, and the windows that occur again are found in
+   an equality join, whose hot keys the adaptive skew join splits; they go on as bits, 63 windows a row.
 
 Digests of windows have 128 bits, those of suffixes 64 after the eight leading bytes themselves; equal digests count as
 equal bytes. Texts are told apart by a 128-bit digest too: rows with equal texts have equal results.
@@ -30,7 +32,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import drop_stored, partitions, stored
@@ -137,21 +139,29 @@ def _map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(parts)
 
 
+#: Rows of a part that multikey quicksort hands to a plain sort.
+SMALL = 1 << 12
+
+
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by their words, first word first: multikey quicksort, in that each further word is only looked
-    at, and sorted by, within groups that all words before left tied."""
-    order = np.argsort(words[0], kind="stable")
-    tied_from = np.concatenate([[True], words[0][order][1:] != words[0][order][:-1]]) if len(order) else np.empty(0, bool)
-    for word in words[1:]:
-        group = np.cumsum(tied_from) - 1
-        in_tie = np.bincount(group, minlength=len(order))[group] > 1 if len(order) else np.empty(0, bool)
-        at = np.flatnonzero(in_tie)
-        if not len(at):
-            break
-        rows = order[at]
-        order[at] = rows[np.lexsort((word[rows], group[at]))]
-        tied_from = tied_from.copy()
-        tied_from[1:] |= word[order[1:]] != word[order[:-1]]
+    """The order of rows by their words, first word first, by multikey quicksort: a part is cut in three by one word of a
+    pivot; less and greater go on with the same word, equal with the next one."""
+    order = np.arange(len(words[0]))
+    parts = [(0, len(order), 0)]
+    while parts:
+        a, b, depth = parts.pop()
+        if b - a < 2 or depth == len(words):
+            continue
+        rows = order[a:b]
+        if b - a <= SMALL:
+            order[a:b] = rows[np.lexsort([w[rows] for w in reversed(words[depth:])])]
+            continue
+        value = words[depth][rows]
+        pivot = np.partition(value[:: max(1, len(value) // 99)], 49)[49] if len(value) > 99 else value[0]
+        less, equal = value < pivot, value == pivot
+        i, j = a + int(less.sum()), a + int(less.sum() + equal.sum())
+        order[a:b] = np.concatenate([rows[less], rows[equal], rows[~less & ~equal]])
+        parts += [(a, i, depth), (i, j, depth + 1), (j, b, depth)]
     return order
 
 
@@ -217,14 +227,20 @@ def _across(sorted_runs: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(lists: pa.Array) -> Iterator[np.ndarray]:
+    """The rows of a list of structs of two numbers, as an array of pairs each; none for null."""
+    both = np.stack([lists.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)], axis=1)
+    starts = lists.offsets.to_numpy()
+    return (both[a:b] for a, b in zip(starts, starts[1:]))
+
+
 _WINDOWS = "h1 bigint, h2 bigint, k1 bigint, k2 bigint, s bigint"
 
 
 def _map_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All windows of the listed runs, digested."""
     for b in batches:
-        for k1, k2, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-            pairs = np.array([(x["s"], x["e"]) for x in spans.as_py()], np.int64)
+        for k1, k2, text, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), _pairs(b.column(3))):
             for at, piece in _pieces(text.as_py()):
                 own = pairs[(pairs[:, 0] >= at) & (pairs[:, 0] < at + PIECE)] - at
                 if not len(own):
@@ -235,27 +251,32 @@ def _map_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(s), k1)), pa.array(np.full(len(s), k2)), pa.array(s + at)], names=["h1", "h2", "k1", "k2", "s"])
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(spans: np.ndarray) -> np.ndarray:
     """Sorted, disjoint spans, touching ones joined."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    if not len(spans):
+        return spans
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
+    return np.stack([spans[first, 0], reach[np.concatenate([first[1:] - 1, [len(spans) - 1]])]], axis=1)
+
+
+#: Windows a row of bits has.
+BITS = 63
 
 
 def _map_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for doc_id, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            raw, cut = text.as_py(), merged([(x["s"], x["t"]) for x in spans.as_py() or []])
+        for doc_id, text, whole, bits in zip(b.column(0).to_pylist(), b.column(1), _pairs(b.column(2)), _pairs(b.column(3))):
+            block, place = np.nonzero((bits[:, 1, None] >> np.arange(BITS)) & 1)
+            again = bits[block, 0] * BITS + place
+            raw, cut = text.as_py(), merged(np.concatenate([whole, np.stack([again, again + LENGTH], axis=1)])).tolist()
             digest, at = hashlib.sha256(), 0
             for a, z in [*cut, (len(raw), len(raw))]:
                 digest.update(raw[at:a])
                 at = z
-            rows.append((doc_id, len(raw), sum(z - a for a, z in cut), len(cut), digest.hexdigest(), [list(c) for c in cut]))
+            rows.append((doc_id, len(raw), sum(z - a for a, z in cut), len(cut), digest.hexdigest(), cut))
         if rows:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
@@ -275,7 +296,8 @@ def _listed(base: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts with their keys, ``(doc_id, text, k1, k2)``, and the repeated windows, ``(k1, k2, s, t)`` as byte spans."""
+    """The texts with their keys, ``(doc_id, text, k1, k2)``, and, stored, what is repeated in each: ``(k1, k2, kind, a, b)``,
+    of kind 0 the bytes from ``a`` to ``b``, of kind 1 windows, the bits of ``b`` counting from ``a * BITS``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(text, "UTF-8").alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
@@ -287,24 +309,28 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = found.filter("not edge").select("k1", "k2", "s", "e", "whole", (F.col("mixed") & F.col("first")).alias("look"))
     judged = stored(inner.unionByName(_across(found)), "judged")
     drop_stored(found)
-    whole = judged.filter("whole").select("k1", "k2", "s", (F.col("e") + LENGTH).alias("t"))
+    whole = judged.filter("whole").select("k1", "k2", F.lit(0).alias("kind"), F.col("s").alias("a"), (F.col("e") + LENGTH).alias("b"))
     look = judged.filter("look").groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     once = _listed(long, look).filter("listed").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     windows = once.join(look, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(_map_windows, _WINDOWS)
-    n = F.count("*").over(Window.partitionBy("h1", "h2"))
-    again = windows.withColumn("n", n).filter("n > 1").select("k1", "k2", "s", (F.col("s") + LENGTH).alias("t"))
-    spans = stored(whole.unionByName(again), "spans")
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("s") % BITS).cast("int"))
+    again = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("k1", "k2", F.floor(F.col("s") / BITS).alias("a")).agg(F.bit_or(bit).alias("b"))
+    found = stored(whole.unionByName(again.select("k1", "k2", F.lit(1).alias("kind"), "a", "b")), "spans")
     drop_stored(judged)
-    return base, spans
+    return base, found
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)``, a row a document; ``spans`` are the removed bytes."""
-    base, spans = repeated(docs)
-    lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "t")).alias("spans"))
-    marked = _listed(base, spans.select("k1", "k2"))
+    base, found = repeated(docs)
+    # A text's runs and rows of bits: a small part of its length each.
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("a", "b")))
+    lists = found.groupBy("k1", "k2").agg(of(0).alias("whole"), of(1).alias("bits"))
+    marked = _listed(base, found.select("k1", "k2"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>"
-    cut = marked.filter("listed").join(lists, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_map_cut, schema)
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    cut = marked.filter("listed").join(lists, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("whole", none), F.coalesce("bits", none)).mapInArrow(_map_cut, schema)
     zero = F.lit(0).cast("bigint")
     whole = marked.filter("not listed").select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
@@ -315,4 +341,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def compared(docs: DataFrame) -> DataFrame:
     """The columns that the query op8 returns."""
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"))

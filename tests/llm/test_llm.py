@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -256,11 +257,28 @@ def test_chats_at_least_cost(spark, chunk):
 def test_chat_odd(spark):
     rows = [(None, 0, "user", "a"), (1, None, "user", None), (1, None, "user", None), (1, 0, "system", "<|im_end|>"), (2, 5, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("chunk", F.lit(1))
-    out = chat.format_chats(df).collect()
+    out = chat.format_chats(df.withColumn("row", F.lit("x")).withColumn("before", F.lit("x"))).collect()
     assert len(out) == 5 and not any("<|im_end|><" in r["rendered"] for r in out)
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_hot_chats_are_cut(spark):
+    """Turns without conversation or number, and one number a thousand times over: no chunk has more rows than ``CHUNK``."""
+    rng = random.Random(7)
+    roles = ["system", "user", "assistant", "tool", None]
+    rows = [(None, None, rng.choice(roles), f"x{k % 7}") for k in range(700)] + [(1, 5, rng.choice(roles), f"y{k}") for k in range(900)] + [(2, k, rng.choice(roles), "z") for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {}
+    for chunk, n in ((50, 3), (50, 9), (4096, 4)):
+        got = chat.format_chats(df.repartition(n), chunk).collect()
+        costs = defaultdict(int)
+        for r in got:
+            costs[r["conv_id"]] += r["cost"]
+        out[chunk, n] = sorted(map(repr, got)), dict(costs)
+    assert out[50, 3] == out[50, 9] and out[50, 3][1] == out[4096, 4][1]
+    assert chat.chain([chat.matrix([2, 3])] * 5000) == [(0, 3)] + [(3, 3)] * 4999
+
+
 # --- 4: near-duplicates
 
 
@@ -510,15 +528,34 @@ def test_marginals_are_exact():
         ("<nav><a href=/>Home</a></nav><article><p>Cut &am", "Cut &am"),
         ("<head><script>var a='</p>';</script><style>p{}</style></head><body><article><p>Text of it.</p><script>x</script></article>", "Text of it."),
         ("<main><p>Kept text, all of it.</p><div class='comments'><p>First! I agree with all.</p></div><aside>Side text here</aside></main>", "Kept text, all of it."),
-        ("", ""), (None, ""), ("<", "<"), ("<div class='cookie-notice'>We use cookies</div>", ""),
+        ("<article><p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, as said.</p></article>", "We know that x=2 holds, as said."),
+        ("<article><p>One <a href='a>b'>link</a> and 3 < 4 in it.</p><p class=\"cut", "One link and 3 < 4 in it."),
+        ("", ""), (None, ""), ("<", None), ("<div class='cookie-notice'>We use cookies</div>", ""),
     ],
 )
 def test_pages(spark, html, text):
     got = html_extract.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()
-    if html == "<":
-        assert got["n_chars"] in (0, 1)
-    else:
-        assert (got["text"], got["n_chars"]) == (text, len(text))
+    assert got["n_chars"] == len(got["text"]) and (text is None or got["text"] == text)
+
+
+def test_pages_odd(spark):
+    rows = [(1, "u", "<article><p>Text of it, all of it.</p></article>")] * 2 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit("x"))
+    same([tuple(r) for r in html_extract.extract(df).collect()], [(1, "u", "Text of it, all of it.", 22)] * 2 + [(None, None, "", 0)])
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, "<div>" * 100_000 + "</p>" * 100_000, '<a href="' * 100_000, "<b>" * 100_000 + "<i>" * 100_000 + "</b>" * 100_000, "<li><ul>" + "<div>" * 60_000 + "<li></li>" * 60_000,
+        "<div>" * 100_000 + "<body>" * 100_000, "<!--" * 250_000, "<script></script " * 60_000, "</ " * 300_000, "<div " + "a='" * 300_000 + ">",
+    ],
+)
+def test_broken_pages_of_a_megabyte(page):
+    began = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - began < 15
 
 
 # --- 8: suffixes
@@ -544,11 +581,11 @@ def test_suffixes(spark, odd):
     texts += [prose(rng, k) + passage[: 395 + 3 * k] + prose(rng, 9) for k in range(6)]
     texts += ["a" * 900, "ab" * 450, texts[0], texts[0][:500] + "X" + texts[0][500:], texts[1][3:401], texts[1][3:403], "é" * 300, None, "", passage * 2]
     docs = docs_of(spark, *texts)
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.compared(docs).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffixes.compared(docs).collect()}
     assert [got[k] for k in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts], 400)
     rows = odd.collect()
     want = brute_repeats([(r["text"] or "").encode() for r in rows], 400)
-    same([tuple(r) for r in suffixes.compared(odd).collect()], [(r["doc_id"], *w) for r, w in zip(rows, want)])
+    same([tuple(r) for r in suffixes.compared(odd).collect()], [(r["doc_id"], *w, w[1] > 0) for r, w in zip(rows, want)])
     assert suffixes.compared(odd.limit(0)).count() == 0
 
 
@@ -566,16 +603,24 @@ def test_a_hot_string_crosses_buckets(spark):
     rng = random.Random(6)
     passage = prose(rng, 90)
     texts = [prose(rng, 20) + " " + passage + " " + prose(rng, 20) for _ in range(120)]
-    got = [tuple(r)[1:] for r in suffixes.compared(docs_of(spark, *texts)).orderBy("doc_id").collect()]
+    got = [tuple(r)[1:5] for r in suffixes.compared(docs_of(spark, *texts)).orderBy("doc_id").collect()]
     assert got == brute_repeats([t.encode() for t in texts], 400)
 
 
-def test_multikey_order():
+@pytest.mark.parametrize("small", [2, 40, 4096])
+def test_multikey_order(monkeypatch, small):
+    monkeypatch.setattr(suffixes, "SMALL", small)
     rng = np.random.default_rng(2)
-    words = [rng.integers(0, 3, 300) for _ in range(4)]
-    order = suffixes.multikey_order(words)
-    keys = list(zip(*(w.tolist() for w in words)))
-    assert [keys[k] for k in order] == sorted(keys)
+    for n, high in ((0, 3), (1, 3), (300, 3), (3000, 3), (3000, 10**9)):
+        words = [rng.integers(0, high, n) for _ in range(4)]
+        order = suffixes.multikey_order(words)
+        keys = list(zip(*(w.tolist() for w in words)))
+        assert sorted(order.tolist()) == list(range(n)) and [keys[k] for k in order] == sorted(keys)
+
+
+def test_merged_spans():
+    got = suffixes.merged(np.array([(5, 9), (0, 2), (2, 3), (8, 12), (20, 21)])).tolist()
+    assert got == [[0, 3], [5, 12], [20, 21]] and len(suffixes.merged(np.empty((0, 2), np.int64))) == 0
 
 
 # --- 9: archives
