@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.columns import let, located
@@ -123,11 +123,14 @@ def unaccounted(essays: DataFrame, plan: DataFrame, unusable: DataFrame) -> Data
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     """``(by, n, p50, p95, most)``; the 95th is the element at ``int(n * 0.95)`` of the sorted values.
 
-    The values of one arm are gathered: evaluation runs have thousands, not billions.
+    Equal values are counted first, so an arm is ordered by its distinct values, and none is gathered in a row.
     """
-    lists = rows.filter(F.col(value).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    at = lambda q: F.get("v", F.floor(F.size("v") * q).cast("int"))
-    return lists.select(by, F.size("v").cast("bigint").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.element_at("v", -1).alias("most"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    arm = Window.partitionBy(by)
+    upto = F.sum("c").over(arm.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(by, "v", "c", upto.alias("upto"), F.sum("c").over(arm).alias("n"))
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col("v")))
+    return placed.groupBy(by).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("most"))
 
 
 def regression_percent(previous: Column, current: Column) -> Column:

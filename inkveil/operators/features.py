@@ -1,6 +1,6 @@
-"""Document features as columns and windows: tokens, headings, emphasis, capitals, habit, title n-grams, surnames.
+"""Document features as columns: tokens, headings, emphasis, capitals, habit, title n-grams, surnames.
 
-Token rows carry no text: offsets are enough, and a text a token would multiply what is moved.
+Offsets come from within the row. Token rows carry no text: a text a token would multiply what is moved.
 """
 
 from __future__ import annotations
@@ -16,13 +16,10 @@ TOKEN = "[A-Za-z][A-Za-z'’-]*"
 
 
 def tokens(docs: DataFrame, pattern: str = TOKEN, id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, pos, token, start, end)``. Offsets are a running sum over a document's tokens."""
-    text = F.coalesce("text", F.lit(""))
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
-    rows = parts.select("doc_id", F.posexplode(F.zip_with("hits", F.transform("gaps", lambda g: F.length(g)), lambda h, g: F.struct(h.alias("t"), g.alias("g")))).alias("pos", "x"))
-    rows = rows.filter("x.t is not null").select("doc_id", "pos", F.col("x.t").alias("token"), F.length("x.t").alias("n"), F.col("x.g").alias("g"))
-    end = F.sum(F.col("n") + F.col("g")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("doc_id", "pos", "token", (end - F.col("n")).cast("int").alias("start"), end.cast("int").alias("end"))
+    """``(doc_id, pos, token, start, end)``, all from within the row: nothing is shuffled, and rows that repeat an id stay apart."""
+    # The outer form: the other is preceded by a filter that would locate all tokens once more.
+    found = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(located(F.coalesce("text", F.lit("")), pattern)).alias("pos", "x")).filter("pos is not null")
+    return found.select("doc_id", "pos", F.col("x.text").alias("token"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
 def is_stop(token: Column) -> Column:
@@ -90,16 +87,18 @@ def organisation_kind(name: Column, settlement: Column | None = None) -> Column:
     )
 
 
-def title_matches(toks: DataFrame, titles: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
+def title_matches(docs: DataFrame, titles: DataFrame, least: int = 2, most: int = 8, id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, pos, n)``: at each token the longest title that starts there. ``titles(key)``.
 
-    Only tokens that begin some title grow n-grams: a semi-join on the first ``least`` words comes before the explosion.
+    The words that follow a token come from its row's array. Only tokens that begin some title grow n-grams: a semi-join
+    on the first ``least`` words comes before the explosion.
     """
     head = lambda words: F.array_join(F.slice(words, 1, least), " ")
     heads = titles.select(F.split("key", " ").alias("words")).filter(F.size("words") >= least).select(head(F.col("words")).alias("head")).distinct()
-    low = toks.select("doc_id", "pos", F.translate(F.lower("token"), "’", "'").alias("t"))
-    following = F.collect_list("t").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, most - 1))
-    grams = low.withColumn("next", following).filter(F.size("next") >= least)
+    hits = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
+    low = docs.select(F.col(id_col).alias("doc_id"), F.transform(hits, lambda t: F.translate(F.lower(t), "’", "'")).alias("low")).filter(F.size("low") >= least)
+    following = F.transform(F.sequence(F.lit(1), F.size("low") - (least - 1)), lambda i: F.slice("low", i, most))
+    grams = low.select("doc_id", F.posexplode(following).alias("pos", "next"))
     grams = grams.join(heads, head(F.col("next")) == F.col("head"), "left_semi")
     rows = grams.select("doc_id", "pos", F.explode(F.sequence(F.lit(least), F.size("next"))).alias("n"), "next")
     keyed = rows.select("doc_id", "pos", "n", F.array_join(F.slice("next", F.lit(1), F.col("n")), " ").alias("key"))

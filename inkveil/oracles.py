@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkveil import case_oracles
 from inkveil.functions.lexicon import KEY_PARTICLES, LANDMARK_SUFFIXES, ORG_SUFFIXES, stop_words
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -10,6 +11,8 @@ URL = "\\b(https?://[^\\s<>\"'']+|www(\\.[A-Za-z0-9-]+){2,}[^\\s<>\"'']*)"
 IP = f"\\b{_OCTET}(\\.{_OCTET}){{3}}\\b"
 CARD = "\\b([0-9][ -]?){12,18}[0-9]\\b"
 TOKEN = "[A-Za-z][A-Za-z''’-]*"
+#: White space of the features, and what is not.
+_S, _NS = "[ \\t\\n\\x0b\\f\\r]", "[^ \\t\\n\\x0b\\f\\r]"
 _KINDS = {"EMAIL": EMAIL, "URL": URL, "IP_ADDRESS": IP, "CREDIT_DEBIT_CARD_NUMBER": CARD}
 _DIGITS = "list_reverse(string_split(regexp_replace({m}, '[^0-9]', '', 'g'), ''))"
 _LUHN = (
@@ -64,10 +67,9 @@ sp AS (SELECT doc_id, m, CAST(sum(length(m) + length(gap)) OVER (PARTITION BY do
 
 _KEY = "lower(translate({c}, '#_', '  '))"
 _GAZ = f"""
-gz AS (SELECT 'place' AS tier, {_KEY.format(c="n_name")} AS key FROM nation WHERE n_nationkey % 3 = 0
-  UNION ALL SELECT 'demonym', {_KEY.format(c="n_name")} FROM nation WHERE n_nationkey % 3 = 1
-  UNION ALL SELECT 'short', {_KEY.format(c="r_name")} FROM region
-  UNION ALL SELECT 'full', {_KEY.format(c="c_name")} FROM customer WHERE c_custkey % 4 = 0
+gz AS (SELECT (['place', 'full', 'title'])[n_nationkey % 3 + 1] AS tier, {_KEY.format(c="n_name")} AS key FROM nation
+  UNION ALL SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'short' ELSE 'demonym' END, {_KEY.format(c="r_name")} FROM region
+  UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN 'full' ELSE 'title' END, {_KEY.format(c="c_name")} FROM customer
   UNION ALL SELECT 'title', {_KEY.format(c="c_name")} FROM customer WHERE c_custkey % 6 = 0)"""
 
 _FOLD = "trim(regexp_replace(lower(translate({c}, '_', ' ')), '[^a-z0-9''-]+', ' ', 'g'))"
@@ -96,16 +98,23 @@ tiers AS (SELECT 'full' AS tier, key FROM full_ UNION ALL SELECT 'short', key FR
 def oracle_sql() -> dict[str, str]:
     core = ["EMAIL", "URL", "IP_ADDRESS", "CREDIT_DEBIT_CARD_NUMBER"]
     stub = "coalesce(text, '')"
+    # Word boundaries here know ASCII only. A letter between other letters is one inside a word, so letters that aren't
+    # ASCII stand between two marked ones while the patterns with boundaries run.
     for kind, rx in (
         ("EMAIL", "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+"), ("US_SOCIAL_SECURITY_NUMBER", "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b"),
         ("CREDIT_DEBIT_CARD_NUMBER", "\\b([0-9][ -]?){13,16}\\b"), ("PHONE", "\\b(\\+?1[-.\\s]?)?\\(?[0-9]{3}\\)?[-.\\s]?[0-9]{3}[-.\\s]?[0-9]{4}\\b"),
         ("IP_ADDRESS", "\\b[0-9]{1,3}(\\.[0-9]{1,3}){3}\\b"),
     ):
         stub = f"regexp_replace({stub}, '{rx}', '{{{kind}}}', 'g')"
-    folded = "regexp_extract(coalesce(text, ''), '^[^ \\t\\n\\r\\f\\x0b]+( [^ \\t\\n\\r\\f\\x0b]+)?', 0)"
-    key = f"trim(regexp_replace(lower(strip_accents({folded})), '[^\\p{{L}}\\p{{N}}''-]+', ' ', 'g'))"
+        if kind == "EMAIL":
+            stub = f"regexp_replace({stub}, '([^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{N}}])', 'q' || chr(2) || '\\1' || chr(2) || 'q', 'g')"
+    stub = f"replace(replace({stub}, 'q' || chr(2), ''), chr(2) || 'q', '')"
+    # Letters whose marks DuckDB strips, curly quotes and dashes made plain, then letters, digits, ' and - only.
+    plain = "translate(x, '‘’ʼ′‐‑‒–—−', repeat(chr(39), 4) || '------')"
+    key = f"trim(regexp_replace(lower(regexp_replace(strip_accents({plain}), '\\p{{Mn}}', '', 'g')), '[^\\p{{L}}\\p{{N}}''-]+', ' ', 'g'))"
+    tail = "CASE WHEN (ends_with(k, '''s') OR ends_with(k, 's''')) AND length(k) > 3 THEN trim(rtrim(k[:length(k) - 2], '''')) ELSE k END"
     suffix = "lower(regexp_replace(list_extract(string_split(name, ' '), -1), '^[.,]+|[.,]+$', '', 'g'))"
-    return {
+    return case_oracles.oracle_sql() | {
         "mask_structured_core": _mask("documents", "doc_id", "text", core),
         "mask_email": _mask("documents", "doc_id", "text", ["EMAIL"]),
         "mask_ip": _mask("documents", "doc_id", "text", ["IP_ADDRESS"]),
@@ -113,31 +122,33 @@ def oracle_sql() -> dict[str, str]:
         "mask_url_pages": _mask("pages", "page_id", "html", ["URL"]),
         "restore_roundtrip": "SELECT doc_id, true AS same, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents",
         "stub_mask": f"SELECT doc_id, md5({stub}) AS masked_md5 FROM documents",
-        "kind_counts": "SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs, count(DISTINCT hit) AS originals FROM ("
-        + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '{_KINDS[k]}', 0)) AS hit FROM documents" for k in core[:3])
-        + ") GROUP BY kind",
+        "kind_counts": "WITH o AS (" + _mask("documents", "doc_id", "text", core) + "), k AS (SELECT doc_id, unnest(regexp_extract_all(masked_text, '\\{([A-Z_]+?)(_[0-9]+)?\\}', 1)) AS kind FROM o) "
+        "SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k GROUP BY kind",
         "minted_dense_rank": f"WITH {_spans(IP)}, fs AS (SELECT *, min(start) OVER (PARTITION BY doc_id, m) AS first FROM sp) "
         "SELECT doc_id, start, m AS text, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS idx FROM fs",
         "token_offsets": f"WITH {_TOKENS} SELECT doc_id, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS ends, CAST(sum(start * (pos + 1)) AS BIGINT) AS weighted FROM tok GROUP BY doc_id",
-        "stopword_filter": f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_stop, count(DISTINCT lower(token)) AS n_words FROM tok WHERE lower(token) IN ({_list(stop_words())}) GROUP BY doc_id",
+        "stopword_filter": f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_stop, count(DISTINCT lower(token)) AS n_words FROM tok "
+        f"WHERE trim(regexp_replace(lower(token), '^(.+?)(n[''’]t|[''’](re|ve|ll|s|m|d|t))$', '\\1'), '''’') IN ({_list(stop_words())}) GROUP BY doc_id",
         "heading_lines": f"WITH {_HEADS} SELECT doc_id, start, stop FROM heads",
         "allcaps_runs": f"WITH {_TOKENS}, c AS (SELECT *, length(token) > 1 AND upper(token) = token AND lower(token) <> token AS caps FROM tok), "
         "g AS (SELECT *, sum(CASE WHEN caps THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM c) "
         "SELECT doc_id, min(start) AS start, max(stop) AS stop, count(*) AS n, count(*) < 3 AS emphasis FROM g WHERE caps GROUP BY doc_id, grp",
-        "capitalisation_habit": f"WITH {_HEADS}, {_spans('[A-Z][a-z]{2,}')}, e AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE lang = 'en'), "
-        "k AS (SELECT sp.doc_id, sp.start, sp.start + length(m) AS stop FROM sp JOIN e USING (doc_id) WHERE start >= 2 AND regexp_matches(substr(text, CAST(start AS INT) - 1, 2), '[a-z,;:]\\s')), "
-        "o AS (SELECT doc_id, count(*) AS marks FROM k WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = k.doc_id AND k.start < h.stop AND k.stop > h.start) GROUP BY doc_id) "
-        "SELECT doc_id, coalesce(marks, 0) AS marks, CAST(len(list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*', 0), lambda x: regexp_matches(x, '\\S'))) AS BIGINT) AS units, "
-        "regexp_matches(text, '(^|[^A-Za-z0-9_])i($|[^A-Za-z0-9_])') AS bare_i FROM e LEFT JOIN o USING (doc_id)",
+        "capitalisation_habit": f"WITH {_HEADS}, {_spans('[A-Z][a-z]{2,}')}, e AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), "
+        f"k AS (SELECT sp.doc_id, sp.start, sp.start + length(m) AS stop FROM sp JOIN e USING (doc_id) WHERE start >= 2 AND regexp_matches(substr(text, CAST(start AS INT) - 1, 2), '[a-z,;:]{_S}')), "
+        "o AS (SELECT doc_id, count(*) AS marks FROM k WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = k.doc_id AND k.start < h.stop AND k.stop > h.start) GROUP BY doc_id), "
+        f"c AS (SELECT doc_id, coalesce(marks, 0) AS marks, CAST(len(list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*', 0), lambda x: regexp_matches(x, '{_NS}'))) AS BIGINT) AS units, "
+        f"CAST(len(regexp_extract_all(chr(1) || text, '(\\x01|[.!?]{_S}){_S}*[a-z]', 0)) AS BIGINT) AS openings, "
+        "regexp_matches(text, '(^|[^\\p{L}\\p{N}_])i($|[^\\p{L}\\p{N}_])') AS bare_i FROM e LEFT JOIN o USING (doc_id)) "
+        "SELECT *, CASE WHEN marks < 2 THEN CASE WHEN bare_i OR openings > 0 THEN 'lowercase' ELSE 'silent' END WHEN bare_i OR openings / greatest(1, units) >= 0.10 THEN 'inconsistent' ELSE 'consistent' END AS habit FROM c",
         "candidate_spans": f"WITH {_spans('[A-Z][a-z]+( [A-Z][a-z]+)+')} SELECT doc_id, start, m AS text FROM sp",
         "org_suffix_classify": "WITH n AS (SELECT p_partkey, p_name || ' ' || (['Bank', 'School', 'Park', 'Museum', 'Smith'])[p_partkey % 5 + 1] AS name FROM part) "
         f"SELECT p_partkey, CASE WHEN {suffix} IN ({_list(ORG_SUFFIXES)}) THEN 'ORGANIZATION' WHEN contains(name, ' ') AND {suffix} IN ({_list(LANDMARK_SUFFIXES)}) THEN 'LANDMARK' ELSE 'NAME' END AS kind FROM n",
         "title_ngrams": f"WITH {_TOKENS}, w AS (SELECT doc_id, pos, replace(lower(token), '’', '''') AS t FROM tok), "
-        "f AS (SELECT doc_id, list(t ORDER BY pos) AS ts FROM w WHERE doc_id % 7 = 0 AND pos < 5 GROUP BY doc_id HAVING count(*) = 5), "
-        "k AS (SELECT DISTINCT n, array_to_string(ts[1:n], ' ') AS key FROM f, (SELECT unnest([3, 5]) AS n)), "
+        f"tl AS (SELECT DISTINCT regexp_extract_all(l, '{TOKEN}', 0) AS ts FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)), "
+        "k AS (SELECT DISTINCT len(ts) AS n, replace(lower(array_to_string(ts, ' ')), '’', '''') AS key FROM tl WHERE len(ts) BETWEEN 2 AND 8), "
         "r AS (SELECT doc_id, pos, list(t) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ts FROM w), "
-        "x AS (SELECT doc_id, pos, n, array_to_string(ts[1:n], ' ') AS key FROM r, (SELECT unnest([3, 5]) AS n) WHERE len(ts) >= n) "
-        "SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(max(x.n) AS BIGINT) AS n FROM x JOIN k USING (key) GROUP BY doc_id, pos",
+        "x AS (SELECT doc_id, pos, n, array_to_string(ts[1:n], ' ') AS key FROM r, (SELECT unnest(range(2, 9)) AS n) WHERE len(ts) >= n) "
+        "SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(max(x.n) AS BIGINT) AS n FROM x JOIN k USING (n, key) GROUP BY doc_id, pos",
         "tier_lookup": f"WITH {_GAZ}, nm AS (SELECT {_KEY.format(c='c_name')} AS key FROM customer UNION ALL SELECT {_KEY.format(c='n_name')} FROM nation UNION ALL SELECT {_KEY.format(c='r_name')} FROM region), "
         "h AS (SELECT nm.key, (SELECT list(DISTINCT tier) FROM gz WHERE gz.key = nm.key) AS ts FROM nm), "
         "t AS (SELECT key, CASE WHEN list_contains(ts, 'place') THEN 'place' WHEN NOT contains(key, ' ') THEN CASE WHEN list_contains(ts, 'short') THEN 'iconic_short' WHEN list_contains(ts, 'demonym') THEN 'demonym' ELSE 'not_notable' END "
@@ -146,7 +157,9 @@ def oracle_sql() -> dict[str, str]:
         "SELECT tier, count(*) AS n, min(key) AS low, max(key) AS high FROM t GROUP BY tier",
         "surname_corroboration": f"WITH {_spans('[A-Z][a-z]+( [A-Z][a-z]+)*')}, k AS (SELECT doc_id, start, lower(m) AS key FROM sp) "
         "SELECT doc_id, start, key FROM k WHERE NOT contains(key, ' ') AND EXISTS (SELECT 1 FROM k f WHERE f.doc_id = k.doc_id AND contains(f.key, ' ') AND string_split(f.key, ' ')[-1] = k.key)",
-        "fold_names": f"SELECT doc_id, CASE WHEN (ends_with(k, '''s') OR ends_with(k, 's''')) AND length(k) > 3 THEN trim(rtrim(k[:length(k) - 2], '''')) ELSE k END AS key FROM (SELECT doc_id, {key} AS k FROM documents)",
+        "fold_names": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '') AS ws FROM documents), "
+        f"f AS (SELECT doc_id, list_transform(list_transform(ws, lambda x: {key}), lambda k: {tail}) AS keys FROM w) "
+        "SELECT doc_id, CAST(len(keys) AS BIGINT) AS n_tokens, md5(array_to_string(keys, ' ')) AS keys_md5 FROM f",
         "build_tiers": f"WITH {_TIERS} SELECT tier, count(*) AS n, min(key) AS low, max(key) AS high FROM tiers GROUP BY tier",
         "census_exposure": f"WITH {_TIERS}, single AS (SELECT DISTINCT tier, key FROM tiers WHERE tier IN ('short', 'place', 'demonym') AND NOT contains(key, ' ')), "
         "tot AS (SELECT CAST(sum(bearers) AS BIGINT) AS bearers, count(*) AS names FROM census), "
@@ -164,9 +177,10 @@ def oracle_sql() -> dict[str, str]:
         "sidecar_resume": "SELECT mode, essay_id FROM (SELECT doc_id AS essay_id, unnest(['local', 'stub']) AS mode FROM documents) EXCEPT ALL SELECT CASE WHEN toxic = 1 THEN 'stub' ELSE 'local' END, doc_id FROM labels",
         "latency_percentiles": "SELECT event_type, CAST(len(v) AS BIGINT) AS n, v[CAST(floor(len(v) * 0.5) AS INT) + 1] AS p50, v[CAST(floor(len(v) * 0.95) AS INT) + 1] AS p95, v[-1] AS most "
         "FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)",
-        "carrier_injection": "WITH e AS (SELECT doc_id, text, CAST(floor(length(text) * 2 / 3) AS INT) AS hi, CAST(floor(length(text) / 3) AS INT) AS lo FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), "
-        "j AS (SELECT e.*, a.text AS ha, b.text AS la FROM e JOIN benchmark a ON a.item_id = e.doc_id % 40 JOIN benchmark b ON b.item_id = (e.doc_id + 1) % 40), "
-        "o AS (SELECT doc_id, substr(text, 1, lo) || la || ' ' || substr(text, lo + 1, hi - lo) || ha || ' ' || substr(text, hi + 1) AS t FROM j) "
+        "carrier_injection": "WITH i AS (SELECT row_number() OVER (ORDER BY item_id, text) - 1 AS f, text FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark), "
+        "e AS (SELECT doc_id, coalesce(text, '') AS text, CAST(floor(length(coalesce(text, '')) * 2 / 3) AS INT) AS hi, CAST(floor(length(coalesce(text, '')) / 3) AS INT) AS lo, doc_id % n.n AS a, (doc_id + 1) % n.n AS b FROM documents, n), "
+        "j AS (SELECT e.*, CASE WHEN hi = lo AND b > a THEN y.text ELSE x.text END AS later, CASE WHEN hi = lo AND b > a THEN x.text ELSE y.text END AS sooner FROM e JOIN i x ON x.f = e.a JOIN i y ON y.f = e.b), "
+        "o AS (SELECT doc_id, substr(text, 1, lo) || sooner || ' ' || substr(text, lo + 1, hi - lo) || later || ' ' || substr(text, hi + 1) AS t FROM j) "
         "SELECT doc_id AS essay_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n_chars FROM o",
         "corpus_reconciliation": "SELECT doc_id AS essay_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "json_fields": "SELECT event_id, event_type || '|' || event_type AS fields FROM events",

@@ -162,19 +162,26 @@ class Redactor:
         return out.drop("__on", "__keep", "__who")
 
     def redact_outbound_batch(self, feedback: DataFrame, on: str = "doc_id", order: str = "field_no", text_col: str = "text") -> DataFrame:
-        """``(on, order, masked_text, batched)``: a document's fields joined, masked once, and split again; if a separator
-        got lost, field by field. Fields share their numbering; empty ones are left out of the joint text."""
+        """``(on, order, masked_text, batched)``: a document's fields joined, masked once, and split again; if a field
+        holds the separator itself, field by field. Fields share their numbering; empty ones are left out of the joint text."""
         some = F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0
         fields = feedback.filter(some).groupBy(on).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("t")))).alias("fields"))
         joint = fields.withColumn("__joint", F.array_join(F.transform("fields", lambda f: f["t"]), SEPARATOR))
-        whole = self._run(joint, "__joint", None, None, self.outbound_options)
-        parts = F.split("masked_text", SEPARATOR, -1)
-        split = whole.select(on, "fields", parts.alias("parts"), (F.size(parts) == F.size("fields")).alias("batched"))
-        rows = split.select(on, "batched", "parts", F.posexplode("fields").alias("i", "f")).select(on, F.col("f.o").alias(order), F.col("f.t").alias("__t"), "batched", F.get("parts", F.col("i")).alias("__joined"))
-        good = rows.filter("batched").select(on, order, F.col("__joined").alias("masked_text"), "batched")
-        single = self._run(rows.filter("not batched"), "__t", None, None, self.outbound_options).select(on, order, "masked_text", "batched")
+        # A joint text that doesn't split into its fields is known beforehand, so each text is masked once, jointly or field
+        # by field. Masks don't reach over the separator: no pattern matches its marks.
+        split = lambda t: F.split(t, SEPARATOR, -1)
+        whole = split(F.col("__joint")) == F.transform("fields", lambda f: f["t"])
+        units = joint.select(on, F.explode(F.when(whole, F.array(F.struct(F.lit(None).cast(feedback.schema[order].dataType).alias("o"), F.col("__joint").alias("t"), F.col("fields").alias("fields")))).otherwise(
+            F.transform("fields", lambda f: F.struct(f["o"].alias("o"), f["t"].alias("t"), F.array(f).alias("fields")))
+        )).alias("u"), whole.alias("batched")).select(on, "batched", F.col("u.o").alias("o"), F.col("u.t").alias("__t"), F.col("u.fields").alias("fields"))
+        masked = self._run(units, "__t", None, None, self.outbound_options)
+        parts = F.when(F.col("batched"), split(F.col("masked_text"))).otherwise(F.array("masked_text"))
+        lost = F.size(parts) != F.size("fields")
+        checked = F.when(lost, F.raise_error(F.lit("a separator was masked"))).otherwise(parts)
+        rows = masked.select(on, "batched", F.posexplode(F.arrays_zip("fields", checked.alias("parts"))).alias("i", "x"))
+        done = rows.select(on, F.col("x.fields.o").alias(order), F.col("x.parts").alias("masked_text"), "batched")
         empty = feedback.filter(~some).select(on, order, F.col(text_col).alias("masked_text"), F.lit(True).alias("batched"))
-        return good.unionByName(single).unionByName(empty)
+        return done.unionByName(empty)
 
 
 def _spans_type() -> str:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from inkveil.functions import minting, patterns
 from inkveil.functions.columns import located
 from inkveil.functions.fold import fold_each
-from inkveil.functions.lexicon import KEY_PARTICLES, LANDMARK_SUFFIXES, ORG_SUFFIXES, stop_words
+from inkveil.functions.lexicon import KEY_PARTICLES
 from inkveil.operators import evaluate, features, structured, tiers
 from inkveil.operators.names import Options
 from inkveil.plans import redaction
-from inkveil.sources import fixtures, readers
+from inkveil.sources import cases, fixtures, readers
 from inkveil.sources import gazetteer as gaz
 from inkveil.streaming import redact as streaming
 
@@ -34,8 +34,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _masked_core(docs: DataFrame) -> DataFrame:
-    out = docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("t")).withColumn("s", minting.initial(F.col("t")))
+def _masked_core(docs: DataFrame, *more: str) -> DataFrame:
+    out = docs.select("doc_id", *more, "text", F.coalesce("text", F.lit("")).alias("t")).withColumn("s", minting.initial(F.col("t")))
     for p in CORE:
         out = out.withColumn("s", minting.substitute(F.col("s"), p.kind, p.regex, p.needs, accept=structured.luhn if p is patterns.CARD else None))
     return out
@@ -70,10 +70,9 @@ def stub_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    each = F.array(*(F.struct(F.lit(p.kind).alias("kind"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p.regex), F.lit(0)).alias("hits")) for p in (patterns.EMAIL, patterns.URL, patterns.IP)))
-    rows = docs.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.kind", F.explode("x.hits").alias("hit"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("hit").alias("originals"))
+    """Placeholders by kind in the masked documents."""
+    masked = _masked_core(spread(table(spark, sf_dir, "documents"))).select("doc_id", F.col("s.text").alias("masked_text"))
+    return evaluate.kind_census(masked)
 
 
 def minted_dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +89,13 @@ def minted_dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = features.tokens(table(spark, sf_dir, "documents"))
     return toks.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum(F.col("start") * (F.col("pos") + 1)).alias("weighted"),
+        F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum(F.col("start").cast("bigint") * (F.col("pos") + 1)).alias("weighted"),
     )
 
 
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = features.tokens(table(spark, sf_dir, "documents"))
-    return toks.filter(F.lower("token").isin(sorted(stop_words()))).groupBy("doc_id").agg(F.count("*").alias("n_stop"), F.count_distinct(F.lower("token")).alias("n_words"))
+    return toks.filter(features.is_stop(F.col("token"))).groupBy("doc_id").agg(F.count("*").alias("n_stop"), F.count_distinct(F.lower("token")).alias("n_words"))
 
 
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +110,8 @@ def allcaps_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capitalisation_habit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.habit(table(spark, sf_dir, "documents")).select("doc_id", F.col("marks").cast("bigint").alias("marks"), F.col("units").cast("bigint").alias("units"), "bare_i")
+    out = features.habit(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in ("marks", "units", "openings")), "bare_i", "habit")
 
 
 def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +128,10 @@ def org_suffix_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest title at each token; the titles are the lines of two to eight tokens of all documents."""
     docs = table(spark, sf_dir, "documents")
-    toks = features.tokens(docs)
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     words = lines.select(F.regexp_extract_all("line", F.lit(features.TOKEN), F.lit(0)).alias("ws"))
     keys = words.filter(F.size("ws").between(2, 8)).select(F.translate(F.lower(F.array_join("ws", " ")), "’", "'").alias("key")).distinct()
-    return features.title_matches(toks, keys).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("bigint").alias("n"))
+    return features.title_matches(docs, keys).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("bigint").alias("n"))
 
 
 def _name_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,10 +191,8 @@ def census_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overfire_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _masked_core(table(spark, sf_dir, "documents").withColumnRenamed("source", "src"))
-    src = table(spark, sf_dir, "documents").select("doc_id", "source")
-    joined = rows.join(src, "doc_id").select("source", "text", F.col("s.n").cast("bigint").alias("n_masked"))
-    return evaluate.over_fire(joined, "source")
+    rows = _masked_core(table(spark, sf_dir, "documents"), "source")
+    return evaluate.over_fire(rows.select("source", "text", F.col("s.n").cast("bigint").alias("n_masked")), "source")
 
 
 def tally_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,9 +305,75 @@ def redact_outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "turn", "masked_text", "n_masked")
 
 
+def _case(case: str, **switches):
+    """The verdicts on one sentence a customer, by the gazetteer of all customers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        customers = table(spark, sf_dir, "customer")
+        r = redaction.build(spark, "local", cases.gazetteer(customers), options=Options(**{k: v for k, v in switches.items() if k not in ("level", "text")}), level=switches.get("level"))
+        out = r.redact_inbound(cases.documents(spread(customers), switches.get("text", case)))
+        return out.select("c_custkey", "masked_text")
+
+    return run
+
+
+def case_topical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first customer's name is the topic, so it stays whatever its tier."""
+    row = cases.people(table(spark, sf_dir, "customer")).filter("c_custkey = 1").first()
+    return _case("plain", topical=frozenset({f"{row['first']} {row['last']}"}))(spark, sf_dir)
+
+
+def case_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback may repeat the surnames of full names that its essay sets up."""
+    customers = spread(table(spark, sf_dir, "customer"))
+    r = redaction.build(spark, "local", cases.gazetteer(customers), outbound="gazetteer-lowercase")
+    feedback = cases.people(customers).select("c_custkey", cases.filled("You said that {L} won.").alias("text"))
+    essays = cases.people(customers).select("c_custkey", cases.filled("We read {F} {L} today.").alias("text"))
+    return r.redact_outbound(feedback, essays, on="c_custkey").select("c_custkey", "masked_text")
+
+
+def case_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The writer's own names and school; of every third customer the first name is also a word."""
+    people = cases.people(table(spark, sf_dir, "customer"))
+    first = F.when(F.pmod("c_custkey", F.lit(3)) == 0, "Grace").otherwise(F.col("first"))
+    school = F.concat(F.lit("Lake "), F.replace("last", F.lit("Quin"), F.lit("Vor")), F.lit(" High"))
+    text = F.replace(cases.filled("By {F} {L}, also {L}, {F} and {L}'s. {F} went to {S}, LVH, lqh."), F.lit("{S}"), F.lower(school))
+    rows = people.withColumn("first", first).select("*", text.alias("text"), school.alias("school"))
+    who = structured.identity_struct(F.col("first"), F.col("last"), F.col("school"))
+    return structured.mask_structured(rows.withColumn("who", who), identity_col="who").select("c_custkey", "masked_text")
+
+
+#: An identifier of each kind with what only looks like one; digits of the customer's key stand for BB, CCC and DDDD.
+_STRUCTURED = {
+    "ssn": "no CCC-BB-DDDD here", "phone": "call (CCC) 555-DDDD x9 or +1 CCC.555.DDDD, not 1CCC555DDDD.", "address": "at KEY N. Oak Hill Road, then KEY Elm trees",
+    "birth": "DOB: 1/BB/1CCC; born in 1CCC", "username": "ask @u_KEY, not @PERSON1 or ab@{L}", "zip": "in OH 1DDDD-DDDD. But 1DDDD apples", "age": "I am 33, and BB years old is BB more",
+}
+
+
+def _structured_case(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text, key = cases.filled(_STRUCTURED[kind]), F.col("c_custkey")
+        digits = lambda by, n: F.lpad((key * by % 10**n).cast("string"), n, "0")
+        for mark, value in (("DDDD", digits(31, 4)), ("CCC", digits(13, 3)), ("BB", digits(7, 2)), ("KEY", key.cast("string"))):
+            text = F.replace(text, F.lit(mark), value)
+        rows = cases.people(table(spark, sf_dir, "customer")).select("c_custkey", text.alias("text"))
+        return structured.mask_structured(rows).select("c_custkey", "masked_text")
+
+    return run
+
+
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; our own where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkveil-shared-")).rstrip("/")
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named; with a local master a
+    temporary one where neither is set, with any other that raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = named.get() if named.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="inkveil-shared-")
+    return root.rstrip("/")
 
 
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +382,7 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder = _shared_folder(spark)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(sf_dir)
-    out = streaming.run_available(streaming.windowed(stream, ["event_type"], width="1 day"), f"inkveil_windows_{uuid.uuid4().hex}", f"{folder}/inkveil-stream-{uuid.uuid4().hex}", "complete")
+    out = streaming.run_available(streaming.windowed(stream, ["event_type"], width="1 day"), f"{folder}/inkveil-stream-{uuid.uuid4().hex}", "complete")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
 
 
@@ -342,5 +405,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "latency_percentiles": latency_percentiles, "carrier_injection": carrier_injection, "corpus_reconciliation": corpus_reconciliation,
         "batch_join_split": batch_join_split, "json_fields": json_fields, "manifest_digests": manifest_digests, "held_out_figures": held_out_figures,
         "gates_report": gates_report, "redact_frames": redact_frames, "frame_violations": frame_violations, "redact_documents": redact_documents,
+        **{f"case_{c}": _case(c) for c in cases.TEXTS}, **{f"structured_{k}": _structured_case(k) for k in _STRUCTURED},
+        "case_uncorroborated": _case("surname_again", corroborate=False), "case_unrelated": _case("relation_before", title_relation_refusal=False),
+        "case_capitals_only": _case("lower_case", level="gazetteer"), "case_topical": case_topical, "case_carried": case_carried, "case_identity": case_identity,
         "redact_outbound": redact_outbound, "stream_event_windows": stream_event_windows, "session_counts": session_counts,
     }

@@ -65,8 +65,14 @@ def carried_keeps_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFram
     )
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is now, into a table in memory (for tests and small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now, and read back what it wrote as Parquet below ``folder``, which all executors
+    share. In ``complete`` mode each batch replaces the result, else it adds to it; a batch that is run again after a
+    failure replaces its own part."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result" if mode == "complete" else f"{folder}/result/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result").select(*stream.columns)
