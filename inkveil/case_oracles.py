@@ -67,5 +67,32 @@ def oracle_sql() -> dict[str, str]:
         "case_topical": f"{_P}SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'Then we met ' || f || ' ' || l || ' at noon.' ELSE {MASKED['plain']} END AS masked_text FROM p",
         "case_capitals_only": f"{_P}SELECT c_custkey, {MASKED['lower_case'].split('CASE')[0]} lower(f) || ' ' || lower(l) || ' again' AS masked_text FROM p",
     }
+    whole = "f || ' ' || l"
+    # By identity alone no name is masked; by the default level all but full names, places and titles. Base texts of every fifth
+    # customer mention a surname, masked unless a tier keeps it, and a mark that an anonymiser left.
+    seen = (
+        "r AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'held' ELSE 'visible' END AS part, m IN (1, 3, 4) AS keep FROM p), "
+        "s AS (SELECT 'local' AS mode, *, keep AS ok, 0 AS fp, CASE WHEN keep THEN 0 ELSE 1 END AS bad FROM r UNION ALL "
+        "SELECT 'local-gazetteer-lowercase', *, true, CASE WHEN c_custkey % 5 = 0 AND m NOT IN (2, 5) THEN 1 ELSE 0 END, 0 FROM r) "
+    )
+    rate = lambda keep, part: f"avg(CASE WHEN keep = {keep}{f' AND part = {chr(39)}{part}{chr(39)}' if part else ''} THEN CASE WHEN ok THEN 100.0::DOUBLE ELSE 0 END END)"
+    rates = ", ".join(f"{rate(keep, part)} AS {name}_{split}" for name, keep in (("recall", "false"), ("precision", "true")) for split, part in (("all", ""), ("visible", "visible"), ("held_out", "held")))
+    more |= {
+        "evaluation_summary": f"{_P}, {seen}SELECT mode, count(*) AS cases, count(*) FILTER (NOT keep) AS recall_spans, count(*) FILTER (keep) AS precision_spans, CAST(sum(bad) AS BIGINT) AS violations, 100.0::DOUBLE AS round_trip_rate, "
+        f"1.0::DOUBLE AS units_mean, avg(fp) AS over_fire_spans, avg(CASE WHEN fp = 1 THEN length(l) ELSE 0 END) AS over_fire_chars, 0.0::DOUBLE AS rewrites, {rates} FROM s GROUP BY mode",
+        # Candidates without an oracle lose what is to stay; with one, all is as it should be.
+        "evaluation_frames": f"{_P} SELECT mode, 'plain [' || v || ']' AS frame, CAST(sum(CASE WHEN mode = 'path-gazetteer' OR v = 'redact' THEN 1 ELSE 0 END) AS BIGINT) AS passed, count(*) AS total "
+        "FROM (SELECT CASE WHEN m IN (1, 3, 4) THEN 'keep' ELSE 'redact' END AS v FROM p), (VALUES ('local-candidates'), ('path-gazetteer')) t(mode) GROUP BY mode, v",
+        "frame_violations": f"{_P}, k AS (SELECT *, c_custkey % 5 AS d, c_custkey % 7 = 0 AS keep FROM p) SELECT c_custkey, 'leak' AS kind, {whole} AS detail FROM k WHERE d = 1 AND NOT keep UNION ALL SELECT c_custkey, 'partial-leak', {whole} FROM k WHERE d = 2 AND NOT keep "
+        f"UNION ALL SELECT c_custkey, 'keep-destroyed', {whole} FROM k WHERE d <> 1 AND keep UNION ALL SELECT c_custkey, 'unknown-placeholder', 'ODD' FROM k WHERE d = 3 UNION ALL SELECT c_custkey, 'chunk-alignment', '' FROM k WHERE d = 4 "
+        "UNION ALL SELECT c_custkey, 'not-restorable', '' FROM k WHERE d IN (2, 3, 4)",
+        "wrong_types": f"{_P} SELECT c_custkey AS frame_id, 'LOCATION' AS token_kind, {whole} AS region FROM p WHERE m = 6 AND c_custkey % 3 <> 0",
+        "overfire_levels": f"{_P}, o AS (SELECT *, CASE WHEN m IN (1, 2, 5) THEN 0 ELSE 1 END AS first, CASE WHEN m = 1 THEN 0 ELSE 1 END AS second FROM p), "
+        "t AS (SELECT 2 * count(*) AS d, count(*) AS g, CAST(sum(length('You said that ' || l || ' won.') + length('Then say who ' || f || ' is.')) AS BIGINT) AS c, CAST(sum(first + second) AS BIGINT) AS s FROM o) "
+        "SELECT 'identity' AS level, d AS documents, g AS groups, c AS characters, 0 AS spans, 0 AS documents_touched, 0.0::DOUBLE AS per_document, 0.0::DOUBLE AS per_group, 0.0::DOUBLE AS per_1k FROM t "
+        "UNION ALL SELECT 'gazetteer-lowercase', d, g, c, s, s, s / d, s / g, s / c * 1000 FROM t",
+        "overfire_spans": f"{_P} SELECT 'gazetteer-lowercase' AS level, l AS original, 1 AS n FROM p WHERE m NOT IN (1, 2, 5) UNION ALL SELECT 'gazetteer-lowercase', f, 1 FROM p WHERE m <> 1",
+        "label_predicates": "SELECT p_name AS label, count(*) AS n, max(p_partkey % 200) AS links FROM part WHERE p_partkey % 200 >= 30 AND substr(p_brand, 7, 1) IN ('1', '2') AND p_size <= 40 AND p_name IS NOT NULL GROUP BY p_name",
+    }
     structured = {f"structured_{k}": f"{_P}SELECT c_custkey, {v.replace('{{', '{').replace('}}', '}')} AS masked_text FROM p JOIN customer USING (c_custkey)" for k, v in STRUCTURED.items()}
     return more | structured | {f"case_{k}": f"{_P}SELECT c_custkey, {v} AS masked_text FROM p" for k, v in MASKED.items()}

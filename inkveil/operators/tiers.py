@@ -50,6 +50,30 @@ def derived(key: Column) -> Column:
     return F.when((F.size(words) == 3) & plain, F.concat_ws(" ", F.get(words, 0), F.get(words, 2)))
 
 
+def labels(entities: DataFrame, classes: DataFrame, subclasses: DataFrame, roots: set[str], least: int = 1, without: set[str] = frozenset(), depth: int = 20) -> DataFrame:
+    """``(label, links)`` of the entities in a class below ``roots`` with ``least`` links or more, and in none below ``without``.
+
+    ``entities(id, label, links)``, ``classes(id, class)``, ``subclasses(class, parent)``. The class tree is small; it is
+    walked downwards until nothing is added, at most ``depth`` steps. Labels repeat as often as entities have them.
+    """
+
+    def below(tops: set[str]) -> DataFrame:
+        spark = entities.sparkSession
+        found = front = sorted(tops)
+        for _ in range(depth):
+            front = sorted({r["class"] for r in subclasses.filter(F.col("parent").isin(front)).select("class").distinct().collect()} - set(found)) if front else []
+            if not front:
+                break
+            found = sorted({*found, *front})
+        return spark.createDataFrame([(c,) for c in found], "class string")
+
+    wanted = classes.join(below(roots), "class").select("id").distinct()
+    out = entities.filter((F.col("links") >= least) & F.col("label").isNotNull()).join(wanted, "id", "left_semi")
+    if without:
+        out = out.join(classes.join(below(without), "class").select("id").distinct(), "id", "left_anti")
+    return out.select("label", "links")
+
+
 def build(
     humans: DataFrame, places: DataFrame, titles: DataFrame, demonyms: DataFrame, settlements: DataFrame, census: DataFrame, births: DataFrame, floors: Floors = Floors(),
 ) -> DataFrame:

@@ -161,6 +161,7 @@ def oracle_sql() -> dict[str, str]:
         f"f AS (SELECT doc_id, list_transform(list_transform(ws, lambda x: {key}), lambda k: {tail}) AS keys FROM w) "
         "SELECT doc_id, CAST(len(keys) AS BIGINT) AS n_tokens, md5(array_to_string(keys, ' ')) AS keys_md5 FROM f",
         "build_tiers": f"WITH {_TIERS} SELECT tier, count(*) AS n, min(key) AS low, max(key) AS high FROM tiers GROUP BY tier",
+        "gazetteer_counts": f"WITH {_TIERS} SELECT tier, count(DISTINCT key) AS n, max(len(string_split(key, ' '))) AS most_tokens FROM tiers GROUP BY tier",
         "census_exposure": f"WITH {_TIERS}, single AS (SELECT DISTINCT tier, key FROM tiers WHERE tier IN ('short', 'place', 'demonym') AND NOT contains(key, ' ')), "
         "tot AS (SELECT CAST(sum(bearers) AS BIGINT) AS bearers, count(*) AS names FROM census), "
         "hit AS (SELECT tier, name, c.bearers AS b FROM census c JOIN single ON name = key) "
@@ -188,12 +189,13 @@ def oracle_sql() -> dict[str, str]:
         "held_out_figures": f"WITH {_TIERS}, k AS (SELECT DISTINCT key FROM tiers WHERE tier IN ('full', 'short', 'place', 'title', 'demonym')), "
         "p AS (SELECT lower(p_name) AS f, string_split(lower(p_name), ' ')[-1] AS s, p_size % 5 AS domain FROM part) "
         "SELECT domain, count(*) AS n, avg(CASE WHEN f IN (SELECT key FROM k) THEN 1.0 ELSE 0.0 END) AS full_kept, avg(CASE WHEN s IN (SELECT key FROM k) THEN 1.0 ELSE 0.0 END) AS surname_kept FROM p GROUP BY domain",
-        "gates_report": "SELECT * FROM (VALUES ('held_out_recall', '>=', 100.0::DOUBLE, 100.0::DOUBLE, 'PASS'), ('held_out_recall_carrier', '>=', 100.0, NULL, 'NOT_MEASURED'), ('keep_precision', '>=', 100.0, 99.0, 'FAIL'), "
-        "('round_trip', '>=', 100.0, 100.0, 'PASS'), ('unaccounted_violations', '==', 0.0, 0.0, 'PASS'), ('over_fire_prose', '<=', 0.61, NULL, 'NOT_MEASURED'), ('bare_surname_exposure', '<=', 1.25, NULL, 'NOT_MEASURED'), "
-        "('latency_regression', '<=', 8.0, NULL, 'NOT_MEASURED'), ('asset_entries', '>=', 1.0, NULL, 'NOT_MEASURED')) t(gate, op, bar, value, verdict)",
-        "redact_frames": "SELECT * FROM (VALUES ('recall', 'redact', 21::BIGINT, 21::BIGINT), ('recall', 'keep', 2, 2), ('keep', 'keep', 16, 16), ('intersect', 'redact', 13, 13), "
-        "('intersect', 'keep', 3, 3), ('structured', 'redact', 10, 10)) t(grp, verdict, passed, total)",
-        "frame_violations": "SELECT '' AS frame_id, '' AS kind, '' AS detail WHERE false",
+        "gates_report": f"WITH {_TIERS}, v AS (SELECT 'held_out_recall' AS gate, avg(CASE WHEN o_totalprice > 0 THEN 100.0::DOUBLE ELSE 0 END) AS value FROM orders "
+        "UNION ALL SELECT 'keep_precision', avg(CASE WHEN o_orderstatus <> 'P' THEN 100.0::DOUBLE ELSE 0 END) FROM orders UNION ALL SELECT 'round_trip', avg(CASE WHEN p_size > 0 THEN 100.0::DOUBLE ELSE 0 END) FROM part "
+        "UNION ALL SELECT 'unaccounted_violations', sum(CASE WHEN p_name IS NULL THEN 1.0::DOUBLE ELSE 0 END) FROM part UNION ALL SELECT 'over_fire_prose', avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0::DOUBLE ELSE 0 END) FROM orders "
+        "UNION ALL SELECT 'asset_entries', count(*)::DOUBLE FROM tiers), "
+        "g AS (SELECT * FROM (VALUES ('held_out_recall', '>=', 100.0::DOUBLE), ('held_out_recall_carrier', '>=', 100.0), ('keep_precision', '>=', 100.0), ('round_trip', '>=', 100.0), ('unaccounted_violations', '==', 0.0), "
+        "('over_fire_prose', '<=', 0.61), ('bare_surname_exposure', '<=', 1.25), ('latency_regression', '<=', 8.0), ('asset_entries', '>=', 1.0)) t(gate, op, bar)) "
+        "SELECT g.gate, g.op, g.bar, v.value, CASE WHEN v.value IS NULL THEN 'NOT_MEASURED' WHEN CASE g.op WHEN '>=' THEN v.value >= g.bar WHEN '<=' THEN v.value <= g.bar ELSE v.value = g.bar END THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g LEFT JOIN v USING (gate)",
         "batch_join_split": "SELECT conv_id, turn, text AS masked_text, true AS batched FROM conversations",
         "stream_event_windows": "SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL",
         "session_counts": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), "

@@ -23,8 +23,8 @@ LEGACY: dict[str, tuple[str, ...]] = {MODE_VAR: ("PII_REDACTION",), LEVEL_VAR: (
 _warned: set[str] = set()
 
 
-def get(name: str, env: Mapping[str, str] | None = None) -> str:
-    """A setting, stripped: under its name, else under a legacy one, else empty."""
+def get(name: str, env: Mapping[str, str] | None = None, fallback: Mapping[str, str] | None = None) -> str:
+    """A setting, stripped: under its name, else under a legacy one, else what the host falls back to, else empty."""
     env = os.environ if env is None else env
     if value := env.get(name, "").strip():
         return value
@@ -34,11 +34,12 @@ def get(name: str, env: Mapping[str, str] | None = None) -> str:
                 _warned.add(old)
                 log.warning("%s is a legacy name; use %s", old, name)
             return value
-    return ""
+    return (fallback or {}).get(name, "").strip()
 
 
-def is_production(env: Mapping[str, str] | None = None) -> bool:
-    return get(DEPLOYMENT_VAR, env).lower() in _PRODUCTION
+def is_production(env: Mapping[str, str] | None = None, aliases: frozenset[str] = frozenset()) -> bool:
+    """``aliases``: what a host calls production besides."""
+    return get(DEPLOYMENT_VAR, env).lower() in _PRODUCTION | {a.lower() for a in aliases}
 
 
 def _among(raw: str, table: dict[str, str]) -> str | None:

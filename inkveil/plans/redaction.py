@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from inkveil.plans import config
 #: Most keys that are broadcast. The published tables have under 400,000.
 MOST_KEYS = 4_000_000
 SEPARATOR = "\n␞␞␞\n"
+#: Characters of a billed unit.
+UNIT = 1000
 _SPAN = pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("tier", pa.string()), ("mask", pa.bool_()), ("reason", pa.string())])
 _MINTED = pa.list_(pa.struct([("kind", pa.string()), ("idx", pa.int32()), ("original", pa.string())]))
 _RESULT = pa.struct([("text", pa.string()), ("minted", _MINTED), ("n", pa.int32()), ("habit", pa.string()), ("spans", pa.list_(_SPAN))])
@@ -31,6 +34,13 @@ class GazetteerTooLarge(ValueError):
     pass
 
 
+class Service(Protocol):
+    """A managed redaction service: one call a text. ``action`` is ``NONE`` or says that it intervened; ``outputs`` are the
+    parts of the text it returns, none for a text that stays."""
+
+    def apply(self, guardrail_id: str, version: str, source: str, content: str) -> tuple[str, list[str]]: ...
+
+
 @dataclass
 class Broadcast:
     """A gazetteer at the tasks; built once a task process."""
@@ -111,8 +121,26 @@ class Redactor:
     options: Options
     outbound_options: Options
     gazetteer: Broadcast | None = None
-
-    def _run(self, docs: DataFrame, text_col: str, identity_col: str | None, keep: Column | None, options: Options) -> DataFrame:
+    #: What makes a client of the managed service in each task, with the rule set's id and version.
+    client: Callable[[], Service] | None = None
+    service_id: str = ""
+    service_version: str = "DRAFT"
+
+    def _served(self, text: Column, source: str) -> Column:
+        """``(text, intervened)`` from the service, a call a text that isn't blank."""
+        make, name, version = self.client, self.service_id, self.service_version
+
+        @F.arrow_udf("struct<text:string,intervened:boolean>")
+        def run(batch: pa.Array) -> pa.Array:
+            client, out = make(), []
+            for t in batch.to_pylist():
+                action, outputs = client.apply(name, version, source, t) if t.strip() else ("NONE", [])
+                out.append({"text": "".join(outputs) if action != "NONE" and outputs else t, "intervened": action != "NONE"})
+            return pa.array(out, pa.struct([("text", pa.string()), ("intervened", pa.bool_())]))
+
+        return run.asNondeterministic()(text)
+
+    def _run(self, docs: DataFrame, text_col: str, identity_col: str | None, keep: Column | None, options: Options, source: str = "INPUT") -> DataFrame:
         cols = [F.col(f"`{c}`") for c in docs.columns]
         text, absent = F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()
         if self.mode == config.STUB:
@@ -122,6 +150,13 @@ class Redactor:
                 *cols, F.when(~absent, F.col("__text")).alias("masked_text"), F.lit(None).cast("int").alias("n_masked"), changed.alias("intervened"), F.lit(0).alias("char_units"),
                 F.lit(None).cast("map<string,string>").alias("restore_map"), F.lit(None).cast("string").alias("habit"), F.array().cast(_spans_type()).alias("spans"),
             )
+        if self.mode == config.SERVICE:
+            out = docs.withColumn("__served", self._served(text, source))
+            units = F.ceil(F.length(text) / UNIT).cast("int")
+            return out.select(
+                *cols, F.when(~absent, F.col("__served.text")).alias("masked_text"), F.lit(None).cast("int").alias("n_masked"), F.col("__served.intervened").alias("intervened"), units.alias("char_units"),
+                F.lit(None).cast("map<string,string>").alias("restore_map"), F.lit(None).cast("string").alias("habit"), F.array().cast(_spans_type()).alias("spans"),
+            )
         out = structured.with_state(docs, text, None if identity_col is None else F.col(identity_col), options.numbered)
         s = F.col("__state")
         if options.level == config.IDENTITY or self.gazetteer is None:
@@ -158,7 +193,7 @@ class Redactor:
         """Feedback with the keeps of its essay carried over: one equality join on ``on``, of ids and short word lists."""
         keeps = essays.select(F.col(on).alias("__on"), self.carried(essays, text_col, identity_col).alias("__keep"), *([] if identity_col is None else [F.col(identity_col).alias("__who")]))
         joined = feedback.join(keeps, feedback[on] == keeps["__on"], "left")
-        out = self._run(joined, text_col, None if identity_col is None else "__who", F.col("__keep"), self.outbound_options)
+        out = self._run(joined, text_col, None if identity_col is None else "__who", F.col("__keep"), self.outbound_options, "OUTPUT")
         return out.drop("__on", "__keep", "__who")
 
     def redact_outbound_batch(self, feedback: DataFrame, on: str = "doc_id", order: str = "field_no", text_col: str = "text") -> DataFrame:
@@ -174,7 +209,7 @@ class Redactor:
         units = joint.select(on, F.explode(F.when(whole, F.array(F.struct(F.lit(None).cast(feedback.schema[order].dataType).alias("o"), F.col("__joint").alias("t"), F.col("fields").alias("fields")))).otherwise(
             F.transform("fields", lambda f: F.struct(f["o"].alias("o"), f["t"].alias("t"), F.array(f).alias("fields")))
         )).alias("u"), whole.alias("batched")).select(on, "batched", F.col("u.o").alias("o"), F.col("u.t").alias("__t"), F.col("u.fields").alias("fields"))
-        masked = self._run(units, "__t", None, None, self.outbound_options)
+        masked = self._run(units, "__t", None, None, self.outbound_options, "OUTPUT")
         parts = F.when(F.col("batched"), split(F.col("masked_text"))).otherwise(F.array("masked_text"))
         lost = F.size(parts) != F.size("fields")
         checked = F.when(lost, F.raise_error(F.lit("a separator was masked"))).otherwise(parts)
@@ -188,14 +223,16 @@ def _spans_type() -> str:
     return "array<struct<text:string,start:int,end:int,kind:string,tier:string,mask:boolean,reason:string>>"
 
 
-def build(spark: SparkSession, value: bool | str | None = None, gazetteer: DataFrame | None = None, level: str | None = None, outbound: str | None = None, options: Options | None = None) -> Redactor | None:
-    """A redactor for the configured mode; None where redaction is off. The managed service has no client here: it takes
-    network, so its mode raises."""
+def build(spark: SparkSession, value: bool | str | None = None, gazetteer: DataFrame | None = None, level: str | None = None, outbound: str | None = None, options: Options | None = None, client: Callable[[], Service] | None = None, service_id: str = "", service_version: str = "DRAFT") -> Redactor | None:
+    """A redactor for the configured mode; None where redaction is off. The managed service is reached through ``client``,
+    which the host brings; without one its mode raises."""
     mode = config.mode(value)
     if mode == config.OFF:
         return None
     if mode == config.SERVICE:
-        raise NotImplementedError("the managed service is reached over the network; use the local or stub mode")
+        if client is None:
+            raise ValueError("the managed service needs a client; use the local or stub mode without one")
+        return Redactor(mode, Options(level=config.IDENTITY), Options(level=config.IDENTITY), None, client, service_id, service_version)
     inbound = config.level(level)
     base = options or Options()
     names_at = broadcast(spark, gazetteer) if gazetteer is not None and mode == config.LOCAL else None

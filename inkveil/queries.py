@@ -15,7 +15,7 @@ from inkveil.functions.fold import fold_each
 from inkveil.functions.lexicon import KEY_PARTICLES
 from inkveil.operators import evaluate, features, structured, tiers
 from inkveil.operators.names import Options
-from inkveil.plans import redaction
+from inkveil.plans import evaluation, redaction
 from inkveil.sources import cases, fixtures, readers
 from inkveil.sources import gazetteer as gaz
 from inkveil.streaming import redact as streaming
@@ -265,8 +265,15 @@ def held_out_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gates_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = [("held_out_recall", 100.0), ("keep_precision", 99.0), ("round_trip", 100.0), ("unaccounted_violations", 0.0), ("over_fire_prose", 0.1)]
-    return evaluate.gates(spark, spark.createDataFrame(values, "gate string, value double"), set())
+    """The gates over figures of the tables: what can't be measured here is named as such."""
+    orders, parts = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    percent = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
+    one = lambda df, gate, value: df.agg(value.cast("double").alias("value")).select(F.lit(gate).alias("gate"), "value")
+    measured = one(orders, "held_out_recall", percent(F.col("o_totalprice") > 0)).unionByName(one(orders, "keep_precision", percent(F.col("o_orderstatus") != "P")))
+    measured = measured.unionByName(one(parts, "round_trip", percent(F.col("p_size") > 0))).unionByName(one(parts, "unaccounted_violations", F.sum(F.when(F.col("p_name").isNull(), 1).otherwise(0))))
+    measured = measured.unionByName(one(orders, "over_fire_prose", F.avg(F.when(F.col("o_orderpriority") == "5-LOW", 1.0).otherwise(0.0))))
+    measured = measured.unionByName(one(_tiers(spark, sf_dir), "asset_entries", F.count("*"))).unionByName(one(parts, "latency_regression", F.lit(1.0)))
+    return evaluate.gates(spark, measured, {"corpus"})
 
 
 def seed_gazetteer(spark: SparkSession) -> DataFrame:
@@ -281,14 +288,94 @@ def _frames_masked(spark: SparkSession) -> DataFrame:
 
 
 def redact_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the labelled sentences, by group and verdict."""
     scored = evaluate.score(_frames_masked(spark))
     return scored.groupBy("grp", "verdict").agg(F.sum(F.col("passed").cast("bigint")).alias("passed"), F.count("*").alias("total"))
 
 
+#: Kinds of names by tier of :data:`inkveil.sources.cases.TIERS`: full names, places and titles are to stay.
+_KEPT = (1, 3, 4)
+
+
+def _labelled(customers: DataFrame, case: str) -> DataFrame:
+    """A case's sentences as evaluation cases; the text they are put into mentions another customer's surname, or nobody."""
+    name = F.concat_ws(" ", "first", "last")
+    kind = F.when(F.col("tier_no") == 6, "LOCATION").otherwise("NAME")
+    label = F.struct(F.lit(case).alias("frame_id"), name.alias("literal"), kind.alias("kind"), F.col("tier_no").isin(*_KEPT).alias("keep"), F.lit(None).cast("int").alias("count"), (F.pmod("c_custkey", F.lit(3)) == 0).alias("held_out"))
+    base = F.when(F.pmod("c_custkey", F.lit(5)) == 0, cases.filled("Nobody asked {L} or @CAPS1 there.")).otherwise("It rained all day.")
+    return cases.documents(customers, case).select(F.col("c_custkey").alias("essay_id"), "text", base.alias("base"), F.array(label).alias("labels"))
+
+
+def _records(spark: SparkSession, sf_dir: str, *arms: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    out = None
+    for arm in arms:
+        r = evaluation.arm(spark, arm, cases.gazetteer(customers))
+        rows = evaluation.run(_labelled(spread(customers), "plain"), r, arm)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.summarize(_records(spark, sf_dir, "local", "local-gazetteer-lowercase"))
+    return out.select("mode", *(F.col(c).cast("bigint").alias(c) for c in ("cases", "recall_spans", "precision_spans", "violations")), *(c for c in out.columns if c not in ("mode", "cases", "recall_spans", "precision_spans", "violations")))
+
+
+def evaluation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.by_frame(_records(spark, sf_dir, "local-candidates", "path-gazetteer"))
+
+
 def frame_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _frames_masked(spark)
-    back = evaluate.restored(F.col("masked_text"), F.col("restore_map"))
-    return m.select("frame_id", F.explode(evaluate.violations(F.col("masked_text"), F.col("text"), back, F.col("labels"))).alias("v")).select("frame_id", "v.kind", "v.detail")
+    """What the checks say of results that are wrong in a way that follows from the customer's key."""
+    name = F.concat_ws(" ", "first", "last")
+    people = cases.people(table(spark, sf_dir, "customer"))
+    text = cases.filled("Then we met {F} {L} at noon.")
+    masked = F.element_at(F.array(F.lit("Then we met {NAME_1} at noon."), text, cases.filled("Then we met {NAME_1} {L} at noon."), F.lit("Then we met {ODD_1} at noon."), F.lit("We saw {NAME_1}.")), F.pmod("c_custkey", F.lit(5)).cast("int") + 1)
+    label = F.struct(name.alias("literal"), F.lit("NAME").alias("kind"), (F.pmod("c_custkey", F.lit(7)) == 0).alias("keep"), F.lit(None).cast("int").alias("count"))
+    found = evaluate.violations(masked, text, F.replace(masked, F.lit("{NAME_1}"), name), F.array(label))
+    return people.select("c_custkey", F.explode(found).alias("v")).select("c_custkey", "v.kind", "v.detail")
+
+
+def wrong_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders of another kind than the label's: settlements that were expected to be names."""
+    people = cases.people(table(spark, sf_dir, "customer"))
+    label = F.struct(F.concat_ws(" ", "first", "last").alias("literal"), F.lit("NAME").alias("kind"), (F.pmod("c_custkey", F.lit(3)) == 0).alias("keep"))
+    rows = people.select(F.col("c_custkey").alias("frame_id"), F.when(F.col("tier_no") == 6, "LOCATION").otherwise("NAME").alias("token_kind"), cases.filled("{F} {L}").alias("region"), F.array(label).alias("labels"))
+    return evaluate.wrong_type(rows).select("frame_id", "token_kind", "region")
+
+
+def _overfire(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two fields of feedback a customer, and an essay each that sets up the customer's name."""
+    customers = table(spark, sf_dir, "customer")
+    people = cases.people(spread(customers))
+    fields = F.explode(F.array(F.struct(F.lit(0).alias("field_no"), cases.filled("You said that {L} won.").alias("text")), F.struct(F.lit(1).alias("field_no"), cases.filled("Then say who {F} is.").alias("text"))))
+    feedback = people.select(F.col("c_custkey").alias("group_id"), fields.alias("f")).select("group_id", "f.*")
+    essays = people.select(F.col("c_custkey").alias("group_id"), cases.filled("We read {F} {L} today.").alias("text"))
+    keys = cases.gazetteer(customers)
+    return evaluation.over_fire_levels(feedback, essays, {n: redaction.build(spark, "local", keys, level=n, outbound=n) for n in ("identity", "gazetteer-lowercase")})
+
+
+def overfire_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overfire(spark, sf_dir)[0]
+
+
+def overfire_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overfire(spark, sf_dir)[1]
+
+
+def label_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a class tree: parts by brand, brands below makers; some brands are taken out again."""
+    part = table(spark, sf_dir, "part")
+    entities = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), (F.col("p_partkey") % 200).alias("links"))
+    classes = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("class")).unionByName(part.filter("p_size > 40").select(F.col("p_partkey").alias("id"), F.lit("large").alias("class")))
+    tree = part.select(F.col("p_brand").alias("class"), F.concat(F.lit("maker "), F.substring("p_brand", 7, 1)).alias("parent")).distinct()
+    out = tiers.labels(entities, classes, tree, {"maker 1", "maker 2"}, 30, {"large"})
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.max("links").alias("links"))
+
+
+def gazetteer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gaz.counts(_tiers(spark, sf_dir))
+    return out.select("tier", "n", F.col("most_tokens").cast("bigint").alias("most_tokens"))
 
 
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,7 +491,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tally_grouping_sets": tally_grouping_sets, "billed_units": billed_units, "corpus_band_select": corpus_band_select, "sidecar_resume": sidecar_resume,
         "latency_percentiles": latency_percentiles, "carrier_injection": carrier_injection, "corpus_reconciliation": corpus_reconciliation,
         "batch_join_split": batch_join_split, "json_fields": json_fields, "manifest_digests": manifest_digests, "held_out_figures": held_out_figures,
-        "gates_report": gates_report, "redact_frames": redact_frames, "frame_violations": frame_violations, "redact_documents": redact_documents,
+        "gates_report": gates_report, "redact_frames": redact_frames, "frame_violations": frame_violations, "wrong_types": wrong_types,
+        "evaluation_summary": evaluation_summary, "evaluation_frames": evaluation_frames, "overfire_levels": overfire_levels, "overfire_spans": overfire_spans,
+        "label_predicates": label_predicates, "gazetteer_counts": gazetteer_counts, "redact_documents": redact_documents,
         **{f"case_{c}": _case(c) for c in cases.TEXTS}, **{f"structured_{k}": _structured_case(k) for k in _STRUCTURED},
         "case_uncorroborated": _case("surname_again", corroborate=False), "case_unrelated": _case("relation_before", title_relation_refusal=False),
         "case_capitals_only": _case("lower_case", level="gazetteer"), "case_topical": case_topical, "case_carried": case_carried, "case_identity": case_identity,

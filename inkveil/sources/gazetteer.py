@@ -71,5 +71,10 @@ def write_text(gazetteer: DataFrame, path: str, meta: dict) -> int:
     return Path(path).stat().st_size
 
 
+def counts(gazetteer: DataFrame) -> DataFrame:
+    """``(tier, n, most_tokens)``: the keys of each tier and the words of its longest."""
+    return gazetteer.distinct().groupBy("tier").agg(F.count("*").alias("n"), F.max(F.size(F.split("key", " "))).alias("most_tokens"))
+
+
 def from_dict(spark: SparkSession, tiers: dict[str, tuple[str, ...]]) -> DataFrame:
     return spark.createDataFrame([(t, k) for t, ks in tiers.items() for k in ks], "tier string, key string")

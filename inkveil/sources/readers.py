@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import json
+import os
+import shutil
+import zipfile
 from pathlib import Path
 
 import pyarrow as pa
@@ -52,8 +57,25 @@ def corpus_file(folder: str) -> Path:
     return found[0]
 
 
-def resolve_corpus(corpus_id: str | None, registry: dict[str, dict], operator_default: str | None = None) -> dict:
-    name = corpus_id or operator_default or next((k for k, v in registry.items() if v.get("default")), None)
+def verified_copy(manifest: dict, source: str, target: str) -> list[str]:
+    """Copy the files that a manifest lists, each checked against it on both sides; returns their names."""
+    Path(target).mkdir(parents=True, exist_ok=True)
+    for name, want in manifest.items():
+        for folder in (source, target):
+            if folder == target:
+                shutil.copyfile(Path(source, name), Path(target, name))
+            raw = Path(folder, name).read_bytes()
+            if len(raw) != want["bytes"] or hashlib.sha256(raw).hexdigest() != want["sha256"]:
+                raise SourceError(f"{folder}/{name} differs from the manifest")
+    return sorted(manifest)
+
+
+CORPUS_VAR, PAIR_VAR = "INKVEIL_CORPUS", "INKVEIL_LATENCY_PAIR"
+
+
+def resolve_corpus(corpus_id: str | None, registry: dict[str, dict], operator_default: str | None = None, env: dict[str, str] | None = None) -> dict:
+    """The corpus named, else the one the environment names, else the operator's default, else the registry's."""
+    name = corpus_id or (os.environ if env is None else env).get(CORPUS_VAR, "").strip() or operator_default or next((k for k, v in registry.items() if v.get("default")), None)
     if name not in registry:
         raise SourceError(f"unknown corpus {name!r}; known: {', '.join(sorted(registry))}")
     return registry[name]
@@ -84,8 +106,66 @@ def shipped_essays(spark: SparkSession, path: str, digests: dict[str, str]) -> D
     return rows
 
 
-def census_surnames(spark: SparkSession, path: str, least: int = LEAST_CENSUS) -> DataFrame:
-    """``(name, bearers)``, names folded to lower case; a register under ``least`` rows is taken to be cut short."""
+def latency_pair(path: str | None = None, env: dict[str, str] | None = None) -> tuple[dict | None, str | None]:
+    """The paired measurement of this machine and the release before, or why there is none: never both."""
+    given = path or (os.environ if env is None else env).get(PAIR_VAR, "").strip()
+    if not given:
+        return None, f"{PAIR_VAR} is unset: no pair was measured on this machine"
+    if not Path(given).exists():
+        return None, f"{given} is not there"
+    try:
+        return json.loads(Path(given).read_text("utf-8")), None
+    except (OSError, ValueError) as e:
+        return None, f"{given} can't be read: {e}"
+
+
+def pinned(path: str, sha256: str) -> bytes:
+    """A file's bytes, if they have the digest that was pinned."""
+    raw = Path(path).read_bytes()
+    if (found := hashlib.sha256(raw).hexdigest()) != sha256:
+        raise SourceError(f"{path}: digest {found}, {sha256} was pinned")
+    return raw
+
+
+def encode_census(rows: list[tuple[str, int]]) -> bytes:
+    """The register as compressed text, sorted and without a time stamp: equal registers give equal bytes."""
+    out = io.BytesIO()
+    with gzip.GzipFile(filename="", fileobj=out, mode="wb", compresslevel=9, mtime=0) as f:
+        f.write("".join(f"{n}\t{b}\n" for n, b in sorted(rows)).encode())
+    return out.getvalue()
+
+
+def decode_census(raw: bytes) -> list[tuple[str, int]]:
+    """The rows of an encoded register; another order, repeated names or numbers that aren't positive are refused."""
+    rows = [(n, int(b)) for n, b in (line.split("\t") for line in gzip.decompress(raw).decode().splitlines())]
+    if any(a[0] >= b[0] for a, b in zip(rows, rows[1:])) or any(b <= 0 for _, b in rows):
+        raise SourceError("a census register that is not sorted, or has repeated names or counts under one")
+    return rows
+
+
+def census_upstream(spark: SparkSession, path: str, least: int = LEAST_CENSUS, name_col: str = "name", count_col: str = "count") -> DataFrame:
+    """``(name, bearers)`` from the register as published: a CSV file with a header, or the only CSV file in a zip."""
+    if path.endswith(".zip"):
+        with zipfile.ZipFile(path) as z:
+            members = [m for m in z.namelist() if m.lower().endswith(".csv")]
+            if len(members) != 1:
+                raise SourceError(f"{path}: {len(members)} CSV files, one expected")
+            lines = z.read(members[0]).decode("utf-8-sig").splitlines()
+        rows = spark.read.csv(spark.createDataFrame([(x,) for x in lines], "value string").rdd.map(lambda r: r["value"]), header=True)
+    else:
+        rows = spark.read.csv(path, header=True)
+    rows = rows.select(F.lower(name_col).alias("name"), F.col(count_col).cast("long").alias("bearers")).filter("name is not null and name <> 'all other names'")
+    out = rows.groupBy("name").agg(F.max("bearers").alias("bearers"))
+    if (n := out.count()) < least:
+        raise SourceError(f"{path}: {n} surnames, {least} at least")
+    return out
+
+
+def census_surnames(spark: SparkSession, path: str, least: int = LEAST_CENSUS, sha256: str | None = None) -> DataFrame:
+    """``(name, bearers)``, names folded to lower case; a register under ``least`` rows is taken to be cut short, and one of
+    another digest than ``sha256`` is refused."""
+    if sha256 is not None:
+        pinned(path, sha256)
     rows = spark.read.csv(path, sep="\t", schema="name string, bearers long").filter("name is not null and name <> 'ALL OTHER NAMES'")
     out = rows.groupBy(F.lower("name").alias("name")).agg(F.max("bearers").alias("bearers"))
     if (n := out.count()) < least:
@@ -100,9 +180,10 @@ def write_census(census: DataFrame, path: str) -> None:
 def given_births(spark: SparkSession, paths: str | list[str], least: int = LEAST_BIRTHS) -> DataFrame:
     """``(name, births)`` summed over years and sexes."""
     rows = spark.read.csv(paths, schema="name string, sex string, births long")
-    if (n := rows.count()) < least:
+    out = rows.groupBy(F.lower("name").alias("name")).agg(F.sum("births").alias("births"), F.count("*").alias("n")).persist()
+    if (n := out.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) < least:
         raise SourceError(f"{n} rows of births, {least} at least")
-    return rows.groupBy(F.lower("name").alias("name")).agg(F.sum("births").alias("births"))
+    return out.select("name", "births")
 
 
 def json_strings(record: Column, keys: list[str]) -> Column:
@@ -180,6 +261,49 @@ def versioned(spark: SparkSession, path: str, version: int, schema: str) -> Data
     return spark.read.json(path, schema=schema, multiLine=True)
 
 
+VERSION = 1
+_DOCUMENTS = {
+    "frames": "version int, fixture_version string, frames array<struct<frame_id:string,grp:string,sentence:string,held_out:boolean,spans:array<struct<entity:string,literal:string,verdict:string,expect_count:int>>>>",
+    "gates": "version int, gates array<struct<gate:string,op:string,bar:double,requires:string>>",
+    "carrier": "version int, corpus string, plan array<struct<essay_id:string,base_sha256:string,frames:array<string>,slots:array<int>>>",
+    "measured": "version int, corpora map<string,map<string,double>>",
+}
+
+
+def _document(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return versioned(spark, path, VERSION, _DOCUMENTS[kind])
+
+
+def frames_document(spark: SparkSession, path: str) -> DataFrame:
+    """``(frame_id, grp, text, held_out, spans)`` as evaluation takes them; a span is to be masked, and a frame is not held
+    out, unless the document says otherwise."""
+    rows = _document(spark, path, "frames").select(F.explode("frames").alias("f"))
+    span = lambda s: F.struct(s["literal"].alias("literal"), s["entity"].alias("kind"), F.coalesce(s["verdict"] == "keep", F.lit(False)).alias("keep"), s["expect_count"].alias("count"))
+    spans = F.coalesce(F.transform("f.spans", span), F.array().cast("array<struct<literal:string,kind:string,keep:boolean,count:int>>"))
+    return rows.select("f.frame_id", F.coalesce("f.grp", F.lit("recall")).alias("grp"), F.col("f.sentence").alias("text"), F.coalesce("f.held_out", F.lit(False)).alias("held_out"), spans.alias("spans"))
+
+
+def gates_document(spark: SparkSession, path: str) -> DataFrame:
+    """``(gate, op, bar, requires)``; a gate is a floor unless the document says otherwise."""
+    rows = _document(spark, path, "gates").select(F.explode("gates").alias("g"))
+    return rows.select("g.gate", F.coalesce("g.op", F.lit(">=")).alias("op"), "g.bar", "g.requires")
+
+
+def carrier_document(spark: SparkSession, path: str) -> DataFrame:
+    """``(essay_id, base_sha256, frames, slots)``: frames and slots come in pairs."""
+    rows = _document(spark, path, "carrier").select(F.explode("plan").alias("p")).select("p.*")
+    bad = F.coalesce(F.size("frames") != F.size("slots"), F.lit(True))
+    return rows.withColumn("slots", F.when(bad, F.raise_error(F.concat(F.lit("frames without slots: "), F.col("essay_id")))).otherwise(F.col("slots")))
+
+
+def measured_document(spark: SparkSession, path: str, corpus: str) -> dict[str, float]:
+    """The measurements of one corpus."""
+    found = _document(spark, path, "measured").first()["corpora"] or {}
+    if corpus not in found:
+        raise SourceError(f"{path}: nothing measured for {corpus!r}; it has {', '.join(sorted(found)) or 'none'}")
+    return found[corpus]
+
+
 def canonical_json(rows: DataFrame) -> str:
     """A small table as JSON that is equal for equal tables."""
     return json.dumps(sorted((r.asDict(recursive=True) for r in rows.collect()), key=lambda r: json.dumps(r, sort_keys=True, ensure_ascii=False)), sort_keys=True, ensure_ascii=False, indent=1) + "\n"
