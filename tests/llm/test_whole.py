@@ -64,3 +64,46 @@ def test_lines_of_rows_without_id_are_apart(spark):
         assert sorted(left) == ["both x", "once a", "once b", "once c"]
         got = lines.compared(docs).collect()
         assert sorted(r["n_units"] for r in got) == [1, 2, 2, 2] and sum(r["n_removed"] for r in got) == 3
+
+
+def test_stages_of_odd_and_empty_tables(spark, sf, tmp_path):
+    """Every stage takes nulls, repeated rows and clashing columns, and an empty table, and returns its input's columns."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"the word{k} of" for k in range(40)) + "."
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (None, text, None, None), (2, None, "en", "b"), (3, "", None, "b"), (4, text.replace("word", "thing"), "en", "b"), (4, text.replace("word", "other"), "en", "b")]
+    docs = spark.createDataFrame([(i, t, lang, s, None) for i, t, lang, s in rows], SCHEMA)
+    for c in ("row", "text_2", "fp", "rules", "key", "copy_no", "h", "size"):
+        docs = docs.withColumn(c, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns and (name == "mixture" or out.columns == docs.columns)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        got = sorted(str(r["doc_id"]) for r in out.collect())
+        if name == "near_duplicates":
+            assert got == ["1", "2", "4", "4"]
+        elif name in ("decontamination", "secret_scan"):
+            assert got == sorted(str(r[0]) for r in rows)
+
+
+def test_no_shared_folder_is_an_error(monkeypatch):
+    from inkveil.llm import common
+
+    class Option:
+        isDefined = staticmethod(lambda: False)
+
+    class Fake:
+        def __init__(self, master):
+            context = type("Sc", (), {"getCheckpointDir": staticmethod(lambda: Option)})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
+            self.sparkContext = type("Context", (), {"master": master, "_jsc": type("Jsc", (), {"sc": staticmethod(lambda: context)})})
+
+    assert common.shared_dir(Fake("local[4]")).startswith("file:")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        try:
+            common.shared_dir(Fake(master))
+        except RuntimeError as e:
+            assert "spark.checkpoint.dir" in str(e)
+        else:
+            raise AssertionError(master)
