@@ -30,10 +30,6 @@ RESULT = (
 )
 
 
-class GazetteerTooLarge(ValueError):
-    pass
-
-
 class Service(Protocol):
     """A managed redaction service: one call a text. ``action`` is ``NONE`` or says that it intervened; ``outputs`` are the
     parts of the text it returns, none for a text that stays."""
@@ -63,12 +59,11 @@ def key_table(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.select("key", bits.alias("bit")).filter("bit is not null").groupBy("key").agg(F.bit_or("bit").alias("bits"))
 
 
-def broadcast(spark: SparkSession, gazetteer: DataFrame) -> Broadcast:
-    """The keys, checked against ``MOST_KEYS`` before any is brought to the driver."""
+def broadcast(spark: SparkSession, gazetteer: DataFrame) -> Broadcast | None:
+    """The keys at the tasks; None, before any is brought to the driver, where there are more than ``MOST_KEYS``."""
     table = key_table(gazetteer)
-    n = table.count()
-    if n > MOST_KEYS:
-        raise GazetteerTooLarge(f"{n} keys; at most {MOST_KEYS} are broadcast.")
+    if table.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        return None
     return Broadcast(spark.sparkContext.broadcast({r["key"]: r["bits"] for r in table.toLocalIterator()}))
 
 
@@ -95,18 +90,21 @@ def keys_of(text: str) -> list[str]:
     return sorted(out - {""})
 
 
-def with_own_keys(docs: DataFrame, text: Column, gazetteer: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``__own``: the gazetteer's entries for the document's own keys, by a join on the key. No plan uses it
-    yet; titles are reached only through prefixes that are keys, so prefixes are joined too."""
+def with_own_keys(docs: DataFrame, text: Column, table: DataFrame) -> DataFrame:
+    """``docs`` with ``__own``: of ``table(key, bits)`` what each text could look up, by a join on the key.
+
+    What a text looks up depends on it alone, so its entries come back by a hash of it, and no row needs a number. Texts
+    whose hashes collide get each other's entries too, which they don't look up. Copies of a text are asked for once.
+    """
 
     @F.arrow_udf("array<string>")
     def keys(t: pa.Array) -> pa.Array:
         return pa.array([keys_of(x or "") for x in t.to_pylist()], pa.list_(pa.string()))
 
-    table = key_table(gazetteer)
-    wanted = docs.select(F.col(id_col).alias("__id"), F.explode(keys(text)).alias("key"))
-    found = wanted.join(table, "key").groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct("key", "bits"))).alias("__own"))
-    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left").drop("__id")
+    texts = docs.select(text.alias("__t")).groupBy(F.xxhash64("__t").alias("__hash"), "__t").agg(F.count("*")).select("__hash", "__t")
+    wanted = texts.select("__hash", F.explode(keys.asNondeterministic()(F.col("__t"))).alias("key"))
+    found = wanted.join(table, "key").groupBy("__hash").agg(F.map_from_entries(F.collect_set(F.struct("key", "bits"))).alias("__own"))
+    return docs.withColumn("__text_hash", F.xxhash64(text)).join(found, F.col("__text_hash") == F.col("__hash"), "left").drop("__text_hash", "__hash")
 
 
 @dataclass(frozen=True)
@@ -121,6 +119,8 @@ class Redactor:
     options: Options
     outbound_options: Options
     gazetteer: Broadcast | None = None
+    #: ``(key, bits)`` of a gazetteer that is too large to broadcast: each document then gets its own entries by a join.
+    table: DataFrame | None = None
     #: What makes a client of the managed service in each task, with the rule set's id and version.
     client: Callable[[], Service] | None = None
     service_id: str = ""
@@ -159,11 +159,14 @@ class Redactor:
             )
         out = structured.with_state(docs, text, None if identity_col is None else F.col(identity_col), options.numbered)
         s = F.col("__state")
-        if options.level == config.IDENTITY or self.gazetteer is None:
+        if options.level == config.IDENTITY or (self.gazetteer is None and self.table is None):
             new = F.struct(s["text"].alias("text"), s["minted"].alias("minted"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("habit"), F.array().cast(_spans_type()).alias("spans"))
         else:
             kept = F.array().cast("array<string>") if keep is None else keep
-            new = _mask_udf(options, self.gazetteer)(s["text"], s["minted"], kept, F.lit(None).cast("map<string,int>"))
+            own = F.lit(None).cast("map<string,int>")
+            if self.table is not None:
+                out, own = with_own_keys(out, s["text"], self.table), F.col("__own")
+            new = _mask_udf(options, self.gazetteer, self.table is not None)(s["text"], s["minted"], kept, own)
         out = out.withColumn("__new", new)
         r = F.col("__new")
         n = s["n"] + r["n"]
@@ -176,22 +179,28 @@ class Redactor:
     def redact_inbound(self, docs: DataFrame, text_col: str = "text", identity_col: str | None = None) -> DataFrame:
         return self._run(docs, text_col, identity_col, None, self.options)
 
-    def carried(self, docs: DataFrame, text_col: str = "text", identity_col: str | None = None) -> Column:
-        """The words of each document that its feedback may repeat."""
-        source, options = self.gazetteer, self.options
+    def carried(self, docs: DataFrame, text_col: str = "text", identity_col: str | None = None) -> DataFrame:
+        """``docs`` with ``__keep``: the words of each document that its feedback may repeat."""
+        source, options, joined = self.gazetteer, self.options, self.table is not None
+        text = F.coalesce(F.col(text_col), F.lit(""))
 
         @F.arrow_udf("array<string>")
-        def run(text: pa.Array, own: pa.Array) -> pa.Array:
-            gaz = source.get() if source else None
-            return pa.array([sorted(names.carried_keeps(t or "", options, gaz, [n for n in o or [] if n])) for t, o in zip(text.to_pylist(), own.to_pylist())], pa.list_(pa.string()))
+        def run(text: pa.Array, names_of: pa.Array, own: pa.Array) -> pa.Array:
+            shared = source.get() if source else None
+            out = []
+            for t, ns, o in zip(text.to_pylist(), names_of.to_pylist(), own.to_pylist()):
+                gaz = Gazetteer(dict(o or ())) if joined else shared
+                out.append(sorted(names.carried_keeps(t, options, gaz, [n for n in ns or [] if n])))
+            return pa.array(out, pa.list_(pa.string()))
 
         i = None if identity_col is None else F.col(identity_col)
-        own = F.array().cast("array<string>") if i is None else F.concat(F.array(i["first_name"], i["last_name"]), F.coalesce(i["extra_names"], F.array().cast("array<string>")))
-        return run.asNondeterministic()(F.col(text_col), own)
+        writer = F.array().cast("array<string>") if i is None else F.concat(F.array(i["first_name"], i["last_name"]), F.coalesce(i["extra_names"], F.array().cast("array<string>")))
+        with_keys = with_own_keys(docs, text, self.table) if joined else docs.withColumn("__own", F.lit(None).cast("map<string,int>"))
+        return with_keys.withColumn("__keep", run.asNondeterministic()(text, writer, F.col("__own"))).drop("__own")
 
     def redact_outbound(self, feedback: DataFrame, essays: DataFrame, on: str = "doc_id", text_col: str = "text", identity_col: str | None = None) -> DataFrame:
         """Feedback with the keeps of its essay carried over: one equality join on ``on``, of ids and short word lists."""
-        keeps = essays.select(F.col(on).alias("__on"), self.carried(essays, text_col, identity_col).alias("__keep"), *([] if identity_col is None else [F.col(identity_col).alias("__who")]))
+        keeps = self.carried(essays, text_col, identity_col).select(F.col(on).alias("__on"), "__keep", *([] if identity_col is None else [F.col(identity_col).alias("__who")]))
         joined = feedback.join(keeps, feedback[on] == keeps["__on"], "left")
         out = self._run(joined, text_col, None if identity_col is None else "__who", F.col("__keep"), self.outbound_options, "OUTPUT")
         return out.drop("__on", "__keep", "__who")
@@ -232,11 +241,14 @@ def build(spark: SparkSession, value: bool | str | None = None, gazetteer: DataF
     if mode == config.SERVICE:
         if client is None:
             raise ValueError("the managed service needs a client; use the local or stub mode without one")
-        return Redactor(mode, Options(level=config.IDENTITY), Options(level=config.IDENTITY), None, client, service_id, service_version)
+        return Redactor(mode, Options(level=config.IDENTITY), Options(level=config.IDENTITY), client=client, service_id=service_id, service_version=service_version)
     inbound = config.level(level)
     base = options or Options()
-    names_at = broadcast(spark, gazetteer) if gazetteer is not None and mode == config.LOCAL else None
-    return Redactor(mode, replace(base, level=inbound), replace(base, level=config.outbound_level(outbound, inbound)), names_at)
+    names_at = table = None
+    if gazetteer is not None and mode == config.LOCAL:
+        names_at = broadcast(spark, gazetteer)
+        table = key_table(gazetteer) if names_at is None else None
+    return Redactor(mode, replace(base, level=inbound), replace(base, level=config.outbound_level(outbound, inbound)), names_at, table)
 
 
 def transform(redactor: Redactor | None, **kw) -> Callable[[DataFrame], DataFrame]:

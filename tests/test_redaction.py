@@ -128,19 +128,21 @@ def test_topical_and_carry(gaz):
     assert names.carried_keeps("I read about Marie Curie.", Options(), gaz, ["Marie Stone"]) == {"curie"}
 
 
-def test_own_keys_join_gives_the_same(spark, gaz):
-    frames = evaluate.frames(spark).filter("grp <> 'structured'").select("frame_id", "text")
-    df = redaction.with_own_keys(frames, F.col("text"), seed_gazetteer(spark), "frame_id")
-    empty = F.array().cast(minting.MINTED)
-    run = redaction._mask_udf(Options(), None, own_keys=True)
-    got = {r["text"]: r["m"] for r in df.select("text", run(F.col("text"), empty, F.array().cast("array<string>"), F.col("__own"))["text"].alias("m")).collect()}
-    assert got == {t: masked(t, gaz) for t in got}
-
-
-def test_too_large_a_gazetteer_is_refused(spark, monkeypatch):
+def test_a_gazetteer_too_large_to_broadcast_gives_the_same(spark, sf, monkeypatch):
+    small = redaction.build(spark, "local", seed_gazetteer(spark))
     monkeypatch.setattr(redaction, "MOST_KEYS", 3)
-    with pytest.raises(redaction.GazetteerTooLarge):
-        redaction.build(spark, "local", seed_gazetteer(spark))
+    large = redaction.build(spark, "local", seed_gazetteer(spark))
+    assert small.table is None and large.gazetteer is None and large.table is not None
+    frames = evaluate.frames(spark).filter("grp <> 'structured'").select("frame_id", "text")
+    of = lambda r: sorted((x["text"], x["masked_text"]) for x in r.redact_inbound(frames.unionByName(frames)).collect())
+    assert of(large) == of(small) and sum(a != b for a, b in of(large)) > 40
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    same = lambda r: sorted(map(repr, r.redact_inbound(docs).select("doc_id", "masked_text", "n_masked").collect()))
+    assert same(small) == same(large)
+    essays = spark.createDataFrame([(1, "Marie Curie won."), (2, "Nothing."), (3, None)], "doc_id int, text string")
+    back = spark.createDataFrame([(1, 0, "You wrote that Curie and Quist won."), (2, 0, "You wrote that Marie left.")], "doc_id int, field_no int, text string")
+    both = [sorted((x["doc_id"], x["masked_text"]) for x in r.redact_outbound(back, essays).collect()) for r in (small, large)]
+    assert both[0] == both[1] and both[0][0][1].startswith("You wrote that Curie and {NAME_1}")
 
 
 def test_outbound(spark):
