@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import numbered as with_numbers
-from inkveil.llm.common import partitions, stored
+from inkveil.llm.common import drop_stored, partitions, stored
 
 WINDOW, NEAR = 10, 15
 #: Most windows that are searched for at once (of ten words, some ten megabytes).
@@ -345,6 +345,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     of those that go are stored, so that Spark knows their size: few are broadcast, and the texts stay where they are.
     """
     rows = with_numbers(docs, "decontaminate-docs")
-    hits = scan(rows.select(F.col("__llm_row").alias("doc_id"), "text"), benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__llm_hit"))
-    hits = stored(hits, "contaminated")
+    index = build(rows.select(F.col("__llm_row").alias("doc_id"), "text"))
+    hits = stored(search(index, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__llm_hit")), "contaminated")
+    drop_stored(index)
     return rows.join(hits, rows["__llm_row"] == hits["__llm_hit"], "left_anti").drop("__llm_row")

@@ -322,10 +322,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = rows.select("__llm_row", F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.encode(text, "UTF-8").alias("text"))
     prints = stored(base.select(F.struct("__llm_row", "doc_id", "h").alias("doc"), "text").mapInArrow(_hash_rows, "row bigint, doc_id bigint, h bigint, fp bigint"), "fingerprints")
-    roots = _clusters(prints.select("doc_id", "fp")).select("fp", "root")
-    ranked = prints.join(roots, "fp").select("root", "row", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "row").alias("rank"))
+    clusters = _clusters(prints.select("doc_id", "fp"))
+    ranked = prints.join(clusters.select("fp", "root"), "fp").select("root", "row", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", "row").alias("rank"))
     first = ranked.groupBy("root").agg(F.min("rank").alias("first"))
     # Only components of two rows or more lose any, so the join that finds the losers leaves single rows out.
     many = ranked.groupBy("root").count().filter("count > 1").select("root")
     losers = stored(ranked.join(first.join(many, "root"), "root").filter("row <> first.row").select(F.col("row").alias("__llm_gone")), "copies")
+    drop_stored(prints)
+    drop_stored(clusters)
     return rows.join(losers, rows["__llm_row"] == losers["__llm_gone"], "left_anti").drop("__llm_row")
