@@ -603,6 +603,51 @@ def test_suffixes(spark, odd):
     assert suffixes.compared(odd.limit(0)).count() == 0
 
 
+def brute_shared(texts, n):
+    holders = defaultdict(set)
+    for k, t in enumerate(texts):
+        w = re.findall("[^\x20\x09-\x0d]+", t or "")
+        for s in range(len(w) - n + 1):
+            holders[tuple(w[s : s + n])].add(k)
+    found = {k for rows in holders.values() if len(rows) > 1 for k in rows}
+    return [k in found for k in range(len(texts))]
+
+
+def test_passages_that_rows_share(spark, sf, odd, tmp_path):
+    """Over 50 words are a passage in however few bytes, the earliest holder has it too, and repeats within a row are none."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(51)]
+    texts = [prose(rng, 40, 9**9) + " " + " ".join(passage) + " " + prose(rng, 30, 9**9), "x\n" + "\t\n".join(passage), prose(rng, 60, 9**9) + " " + " ".join(passage[1:]) + " end"]
+    texts += [(prose(rng, 90, 9**9) + " ") * 3, "a " * 300, " ".join("b" * 49), " ".join("b" * 49), " ".join("c" * 51), " ".join("c" * 51), None, "", "word" * 200 + " " + " ".join(passage[:50])]
+    pool = [prose(rng, 90, 9**9).split() for _ in range(6)]
+    for _ in range(60):
+        at, n = rng.randrange(30), rng.randint(47, 55)
+        texts.append(prose(rng, rng.randrange(40), 9**9) + " " + " ".join(rng.choice(pool)[at : at + n]) + " " + prose(rng, rng.randrange(40), 9**9))
+    want = brute_shared(texts, 51)
+    assert want[:12] == [True, True, False, False, False, False, False, True, True, False, False, False] and 10 < sum(want[12:]) < 60
+    docs_of(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), sf):
+        rows = spark.read.parquet(f"{d}/documents.parquet").collect()
+        got = {r["doc_id"]: r["shared_passage"] for r in queries.op8_suffix_dedup(spark, d).collect()}
+        assert [got[r["doc_id"]] for r in rows] == brute_shared([r["text"] for r in rows], 51)
+    rows = odd.collect()
+    same([(r["doc_id"], r["n_bytes"], r["shared_passage"]) for r in suffixes.reported(odd).collect()], [(r["doc_id"], len((r["text"] or "").encode()), s) for r, s in zip(rows, brute_shared([r["text"] for r in rows], 51))])
+    assert suffixes.reported(odd.limit(0)).count() == 0
+
+
+def test_words_of_long_texts(monkeypatch):
+    rng = random.Random(4)
+    text = (prose(rng, 300, 9**9) + " " + "x" * 2000 + " é " + "y" * 401 + "\n" + prose(rng, 900, 9**9)).encode()
+    want, runs = suffixes.word_values(text), suffixes.word_runs(text)
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    suffixes._tables.cache_clear()
+    # The powers are the same for any size of piece, so digests of words are too.
+    assert (suffixes.word_values(text) == want).all() and len(set(want.tolist())) == len(set(text.split()))
+    for r in (runs, suffixes.word_runs(text)):
+        assert [w for a, b in zip(r["s"], r["e"]) for w in range(a, b + 1)] == list(range(len(text.split()) - 50))
+    suffixes._tables.cache_clear()
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 700)
     suffixes._tables.cache_clear()
