@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,10 @@ from inkveil.functions.lexicon import LANDMARK_SUFFIXES, ORG_SUFFIXES, stop_word
 from inkveil.operators.names import HEADING
 
 TOKEN = "[A-Za-z][A-Za-z'’-]*"
+#: Tokens that an Arrow function holds at once.
+AT_ONCE = 1 << 16
+#: Bits of the filter of titles, as a power of two, and of each of the parts it is made in.
+FILTER, PART = 28, 16
 
 
 def tokens(docs: DataFrame, pattern: str = TOKEN, id_col: str = "doc_id") -> DataFrame:
@@ -110,22 +116,94 @@ def organisation_kind(name: Column, settlement: Column | None = None) -> Column:
     )
 
 
+class _Words(dict):
+    """64-bit digests of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = out = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+        return out
+
+
+def _filter_bits(words: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length to ``most`` the two bits of the filter of the n-gram at each word from which so many are left."""
+    run = np.zeros(len(words) + 1, np.uint64)
+    for n in range(1, min(most, len(words)) + 1):
+        run = run[: len(words) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]
+        mixed = (run ^ (run >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        yield n, mixed >> np.uint64(64 - FILTER), (mixed >> np.uint64(64 - 2 * FILTER)) & np.uint64((1 << FILTER) - 1)
+
+
+def _title_filter(keys: DataFrame, least: int, most: int) -> bytes:
+    """A Bloom filter of ``keys(key)``: of a fixed size, made in parts by as many groups, so the driver gets no keys."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = _Words()
+        for batch in batches:
+            out = []
+            for key in batch.column(0):
+                words = (key.as_py() or "").split(" ")
+                if least <= len(words) <= most:
+                    *_, (_, one, two) = _filter_bits(np.array([digests[w] for w in words], np.uint64), most)
+                    out += [int(one[0]), int(two[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["bit"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.zeros(1 << PART, np.uint8)
+                part[found.values.to_numpy()] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    rows = keys.select(F.col("key").cast("string")).mapInArrow(bits, "bit bigint")
+    grouped = rows.groupBy(F.shiftright("bit", PART).cast("int").alias("part")).agg(F.collect_set(F.col("bit").bitwiseAND((1 << PART) - 1).cast("int")).alias("found"))
+    out, size = bytearray(1 << (FILTER - 3)), 1 << (PART - 3)
+    for row in grouped.mapInArrow(parts, "part int, bits binary").collect():
+        out[row["part"] * size : (row["part"] + 1) * size] = row["bits"]
+    return bytes(out)
+
+
 def title_matches(docs: DataFrame, titles: DataFrame, least: int = 2, most: int = 8, id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, pos, n)``: at each token the longest title that starts there. ``titles(key)``.
 
-    The words that follow a token come from its row's array. Only tokens that begin some title grow n-grams: a semi-join
-    on the first ``least`` words comes before the explosion.
+    N-grams that the filter of the titles doesn't know never leave their row; the others, hardly more than the titles that
+    are there, carry their words and meet the titles by a join on them. Digests only filter, so the result is exact.
     """
-    head = lambda words: F.array_join(F.slice(words, 1, least), " ")
-    heads = titles.select(F.split("key", " ").alias("words")).filter(F.size("words") >= least).select(head(F.col("words")).alias("head")).distinct()
-    hits = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
-    low = docs.select(F.col(id_col).alias("doc_id"), F.transform(hits, lambda t: F.translate(F.lower(t), "’", "'")).alias("low")).filter(F.size("low") >= least)
-    following = F.transform(F.sequence(F.lit(1), F.size("low") - (least - 1)), lambda i: F.slice("low", i, most))
-    grams = low.select("doc_id", F.posexplode(following).alias("pos", "next"))
-    grams = grams.join(heads, head(F.col("next")) == F.col("head"), "left_semi")
-    rows = grams.select("doc_id", "pos", F.explode(F.sequence(F.lit(least), F.size("next"))).alias("n"), "next")
-    keyed = rows.select("doc_id", "pos", "n", F.array_join(F.slice("next", F.lit(1), F.col("n")), " ").alias("key"))
-    return keyed.join(titles.select("key").distinct(), "key").groupBy("doc_id", "pos").agg(F.max("n").alias("n"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    keys = titles.select("key").distinct()
+    known = docs.sparkSession.sparkContext.broadcast(_title_filter(keys, least, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rx, digests, bits = re.compile(TOKEN), _Words(), np.frombuffer(known.value, np.uint8)
+        has = lambda at: (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+
+        def grams(ids: pa.Array, words: list[str], own: list[int], pos: list[int], left: list[int]) -> pa.RecordBatch:
+            room = np.array(left, np.int64)
+            out: list[tuple[int, int]] = []
+            for n, one, two in _filter_bits(np.fromiter(map(digests.__getitem__, words), np.uint64, len(words)), most):
+                if n >= least:
+                    at = np.flatnonzero((room[: len(one)] >= n) & (has(one) == 1))
+                    out += [(k, n) for k in at[has(two[at]) == 1].tolist()]
+            arrays = [ids.take(pa.array([own[k] for k, _ in out], pa.int32())), pa.array([pos[k] for k, _ in out], pa.int32()), pa.array([n for _, n in out], pa.int32()), pa.array([" ".join(words[k : k + n]) for k, n in out], pa.string())]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "pos", "n", "key"])
+
+        for batch in batches:
+            words, own, pos, left = [], [], [], []
+            for k, text in enumerate(batch.column(1)):
+                if found := rx.findall(text.as_py() or ""):
+                    words += "\n".join(found).lower().replace("’", "'").split("\n")
+                    own += [k] * len(found)
+                    pos += range(len(found))
+                    left += range(len(found), 0, -1)
+                if len(words) >= AT_ONCE:
+                    yield grams(batch.column(0), words, own, pos, left)
+                    words, own, pos, left = [], [], [], []
+            yield grams(batch.column(0), words, own, pos, left)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, pos int, n int, key string")
+    return rows.join(keys, "key", "left_semi").groupBy("doc_id", "pos").agg(F.max("n").alias("n"))
 
 
 def tier_of(names: DataFrame, gazetteer: DataFrame, particles: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 
 from inkveil import queries
 from inkveil.functions.fold import fold
+from inkveil.operators import features
 
 
 def rows_of(spark, sf, name):
@@ -88,3 +89,13 @@ def test_every_name_has_a_tier(spark, sf):
     want = {t: (len(k), min(k), max(k)) for t in {t for _, t in names} if (k := [k for k, u in names if u == t])}
     assert {r["tier"]: (r["n"], r["low"], r["high"]) for r in queries.tier_lookup(spark, sf).collect()} == want
     assert queries._name_gazetteer(spark, sf).select("key").distinct().count() == len({k for k, _ in names})
+
+
+def test_titles_move_no_more_than_their_matches(spark, tmp_path):
+    """Tokens that begin a title but don't go on as one stay in their row: few n-grams reach the join."""
+    rows = [(0, "the end of it\nthe last word")] + [(k, "the end " * 200) for k in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    titles = spark.createDataFrame([("the end of it",), ("the last word",), ("one",), (None,)], "key string")
+    out = features.title_matches(docs, titles)
+    assert sorted(map(tuple, out.collect())) == [(0, 0, 4), (0, 4, 3)]
+    assert "Generate explode" not in out._jdf.queryExecution().analyzed().toString()
