@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pyarrow as pa
+
 from inkveil import queries
 from inkveil.functions.fold import fold
 from inkveil.operators import features
@@ -91,6 +93,29 @@ def test_every_name_has_a_tier(spark, sf):
     assert queries._name_gazetteer(spark, sf).select("key").distinct().count() == len({k for k, _ in names})
 
 
+def test_no_more_than_a_few_tokens_are_held_at_once(spark, tmp_path, monkeypatch):
+    """Memory follows neither the texts of a batch nor the length of one; results don't depend on where they are cut."""
+    rows = [(k, " ".join(f"Word{'abcdefg'[j % 7]} it's THE" for j in range(40))) for k in range(9)]
+    docs = spark.createDataFrame([*rows, (9, None), (10, "")], "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, features.tokens(docs).collect()))
+    sizes = []
+    caught = {}
+
+    class Caught:
+        schema = docs.schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: caught.update(run=run)  # noqa: E731, N815
+
+    features.tokens(Caught())
+    monkeypatch.setattr(features, "AT_ONCE", 7)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    got = []
+    for out in caught["run"](iter([batch])):
+        sizes.append(out.num_rows)
+        got += [tuple(r.values()) for r in out.to_pylist()]
+    assert max(sizes) == 7 and sorted(got) == whole and len(whole) == 9 * 120
+
+
 def test_titles_move_no_more_than_their_matches(spark, tmp_path):
     """Tokens that begin a title but don't go on as one stay in their row: few n-grams reach the join."""
     rows = [(0, "the end of it\nthe last word")] + [(k, "the end " * 200) for k in range(1, 40)]
