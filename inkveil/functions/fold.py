@@ -13,10 +13,14 @@ _DASHES = dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212), "-")
 _PLAIN = _QUOTES | _DASHES
 
 
-@lru_cache(1 << 16)
 def fold(name: str) -> str:
     """The key of a name: plain quotes and dashes, no accents, lower case, letters and digits with ``'`` and ``-`` only,
     single spaces, one possessive tail less."""
+    return name.lower() if name.isascii() and name.isalpha() else _fold(name)
+
+
+@lru_cache(1 << 16)
+def _fold(name: str) -> str:
     decomposed = unicodedata.normalize("NFKD", name.translate(_PLAIN))
     letters = "".join(c for c in decomposed if not unicodedata.combining(c)).lower()
     key = " ".join("".join(c if c in "'-" or c.isalnum() else " " for c in letters).split())

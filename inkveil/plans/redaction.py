@@ -19,6 +19,8 @@ from inkveil.plans import config
 #: Most keys that are broadcast. The published tables have under 400,000.
 MOST_KEYS = 4_000_000
 SEPARATOR = "\n␞␞␞\n"
+#: Rows of a batch that are Python objects at once.
+ROWS = 500
 #: Characters of a billed unit.
 UNIT = 1000
 _SPAN = pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("tier", pa.string()), ("mask", pa.bool_()), ("reason", pa.string())])
@@ -71,12 +73,15 @@ def _mask_udf(options: Options, source: Broadcast | None, own_keys: bool = False
     @F.arrow_udf(RESULT)
     def run(text: pa.Array, minted: pa.Array, keep: pa.Array, own: pa.Array) -> pa.Array:
         shared = source.get() if source else None
-        out = []
-        for t, m, k, o in zip(text.to_pylist(), minted.to_pylist(), keep.to_pylist(), own.to_pylist()):
-            gaz = Gazetteer(dict(o or ())) if own_keys else shared
-            masked, new, n, habit, spans = names.mask(t, [(x["kind"], x["idx"], x["original"]) for x in m], options, gaz, frozenset(k or ()))
-            out.append({"text": masked, "minted": [{"kind": a, "idx": i, "original": b} for a, i, b in new], "n": n, "habit": habit, "spans": spans})
-        return pa.array(out, _RESULT)
+        pieces = [pa.array([], _RESULT)]
+        for at in range(0, len(text), ROWS):
+            out = []
+            for t, m, k, o in zip(*(x.slice(at, ROWS).to_pylist() for x in (text, minted, keep, own))):
+                gaz = Gazetteer(dict(o or ())) if own_keys else shared
+                masked, new, n, habit, spans = names.mask(t, [(x["kind"], x["idx"], x["original"]) for x in m], options, gaz, frozenset(k or ()))
+                out.append({"text": masked, "minted": [{"kind": a, "idx": i, "original": b} for a, i, b in new], "n": n, "habit": habit, "spans": spans})
+            pieces.append(pa.array(out, _RESULT))
+        return pa.concat_arrays(pieces)
 
     # Else the optimizer may move the call into the lambda of a later column, where no Python function can run.
     return run.asNondeterministic()

@@ -318,3 +318,22 @@ def test_random_texts_round_trip(spark, gaz):
             out = out.replace(f"{{{kind}_{idx}}}", original)
         assert out == text
         assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:]))
+
+
+def test_words_are_looked_up_once_a_text():
+    """What a text costs grows with its distinct words where they begin no name, not with all of them."""
+    asked = []
+
+    class Counted(Gazetteer):
+        def given(self, token):
+            asked.append(token)
+            return super().given(token)
+
+        def title_prefix(self, key):
+            asked.append(key)
+            return super().title_prefix(key)
+
+    gaz = Counted({"ann": names.BIT["given"], "moby dick": names.BIT["title"]})
+    text = "it rained on the old town and the wide river all day long. " * 200
+    assert masked(text, gaz) == text and len(asked) < 100
+    assert masked(text + "then i met ann lee and read moby dick", gaz) == text + "then i met {NAME_1} and read moby dick"
