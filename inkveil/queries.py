@@ -421,7 +421,7 @@ def case_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The writer's own names and school; of every third customer the first name is also a word."""
-    people = cases.people(table(spark, sf_dir, "customer"))
+    people = cases.people(spread(table(spark, sf_dir, "customer")))
     first = F.when(F.pmod("c_custkey", F.lit(3)) == 0, "Grace").otherwise(F.col("first"))
     school = F.concat(F.lit("Lake "), F.replace("last", F.lit("Quin"), F.lit("Vor")), F.lit(" High"))
     text = F.replace(cases.filled("By {F} {L}, also {L}, {F} and {L}'s. {F} went to {S}, LVH, lqh."), F.lit("{S}"), F.lower(school))

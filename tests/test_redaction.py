@@ -337,3 +337,10 @@ def test_words_are_looked_up_once_a_text():
     text = "it rained on the old town and the wide river all day long. " * 200
     assert masked(text, gaz) == text and len(asked) < 100
     assert masked(text + "then i met ann lee and read moby dick", gaz) == text + "then i met {NAME_1} and read moby dick"
+
+
+def test_one_split_is_spread(spark, sf):
+    """The identity case takes much work a row, and its table is one small file."""
+    from inkveil.queries import queries
+
+    assert queries()["case_identity"](spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
