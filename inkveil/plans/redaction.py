@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Protocol
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions import minting
 from inkveil.operators import names, structured
-from inkveil.operators.names import BIT, Gazetteer, Options
+from inkveil.operators.names import BEGINS, BIT, Gazetteer, Options, PackedKeys
 from inkveil.plans import config
 
 #: Most keys that are broadcast. The published tables have under 400,000.
 MOST_KEYS = 4_000_000
+#: Most keys that go to the tasks as a dict, which each of an executor's Python processes holds by itself; more are packed.
+MOST_IN_DICT = 50_000
 SEPARATOR = "\n␞␞␞\n"
 #: Rows of a batch that are Python objects at once.
 ROWS = 500
@@ -48,7 +52,8 @@ class Broadcast:
 
     def get(self) -> Gazetteer:
         if self._built is None:
-            self._built = Gazetteer(self.value.value)
+            keys = self.value.value
+            self._built = Gazetteer(keys if isinstance(keys, dict) else PackedKeys(*keys))
         return self._built
 
     def __getstate__(self) -> dict:
@@ -61,12 +66,32 @@ def key_table(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.select("key", bits.alias("bit")).filter("bit is not null").groupBy("key").agg(F.bit_or("bit").alias("bits"))
 
 
+def packed(table: DataFrame) -> tuple[bytes, ...]:
+    """The arguments of :class:`PackedKeys` from ``table(key, bits)``. Tasks join the keys of a batch, so the driver gets a
+    few rows."""
+    words = F.split("key", " ")
+    begun = table.filter((F.col("bits").bitwiseAND(BIT["title"]) != 0) & (F.size(words) > 1)).select(words.alias("w"))
+    begun = begun.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda n: F.array_join(F.slice("w", 1, n), " "))).alias("key"))
+    keys = table.select("key", "bits").filter("key is not null").unionByName(begun.select("key", F.lit(BEGINS).alias("bits"))).groupBy("key").agg(F.bit_or("bits").alias("bits"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [k.encode("utf-8", "surrogatepass") for k in batch.column(0).to_pylist()]
+            parts = b"".join(raw), np.array([len(x) for x in raw], np.uint32), np.array([crc32(x) for x in raw], np.uint32), batch.column(1).to_numpy().astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in parts], names=["blob", "lengths", "sums", "bits"])
+
+    rows = list(keys.mapInArrow(join, "blob binary, lengths binary, sums binary, bits binary").toLocalIterator())
+    whole = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
+    return PackedKeys.pack(b"".join(r["blob"] for r in rows), whole("lengths", np.uint32), whole("sums", np.uint32), whole("bits", np.uint8))
+
+
 def broadcast(spark: SparkSession, gazetteer: DataFrame) -> Broadcast | None:
     """The keys at the tasks; None, before any is brought to the driver, where there are more than ``MOST_KEYS``."""
     table = key_table(gazetteer)
-    if table.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+    n = table.limit(MOST_KEYS + 1).count()
+    if n > MOST_KEYS:
         return None
-    return Broadcast(spark.sparkContext.broadcast({r["key"]: r["bits"] for r in table.toLocalIterator()}))
+    return Broadcast(spark.sparkContext.broadcast(packed(table) if n > MOST_IN_DICT else {r["key"]: r["bits"] for r in table.toLocalIterator()}))
 
 
 def _mask_udf(options: Options, source: Broadcast | None, own_keys: bool = False):
@@ -250,7 +275,8 @@ def build(spark: SparkSession, value: bool | str | None = None, gazetteer: DataF
     inbound = config.level(level)
     base = options or Options()
     names_at = table = None
-    if gazetteer is not None and mode == config.LOCAL:
+    levels = {inbound, config.outbound_level(outbound, inbound)}
+    if gazetteer is not None and mode == config.LOCAL and levels != {config.IDENTITY}:  # at that level no key is looked up
         names_at = broadcast(spark, gazetteer)
         table = key_table(gazetteer) if names_at is None else None
     return Redactor(mode, replace(base, level=inbound), replace(base, level=config.outbound_level(outbound, inbound)), names_at, table)

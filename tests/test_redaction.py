@@ -339,6 +339,20 @@ def test_words_are_looked_up_once_a_text():
     assert masked(text + "then i met ann lee and read moby dick", gaz) == text + "then i met {NAME_1} and read moby dick"
 
 
+def test_packed_keys_say_what_a_dict_says(spark, monkeypatch):
+    """A large gazetteer takes a few buffers at each task, with the same lookups, prefixes of titles included."""
+    rows = [(t, k) for t, ks in fixtures.SEED.items() for k in ks] + [("title", f"the {k} of {k % 7}") for k in range(3000)] + [("full", f"élan ’{k}") for k in range(3000)] + [("given", ""), ("other", "x")]
+    gazetteer = spark.createDataFrame(rows, "tier string, key string")
+    plain = redaction.broadcast(spark, gazetteer).get()
+    monkeypatch.setattr(redaction, "MOST_IN_DICT", 10)
+    small = redaction.broadcast(spark, gazetteer)
+    assert isinstance(small.get().keys, names.PackedKeys) and sum(map(len, small.value.value)) < 60 * (len(plain.keys) + len(plain.prefixes))
+    for key in [*plain.keys, *plain.prefixes, "the", "of", "the 5", "élan", "nobody", "", "the 12 of 5 x"]:
+        assert small.get().title_prefix(key) == plain.title_prefix(key)
+        assert small.get().keys.get(key, 0) & ~names.BEGINS == plain.keys.get(key, 0)
+    assert redaction.build(spark, "local", gazetteer, level="identity").gazetteer is None
+
+
 def test_one_split_is_spread(spark, sf):
     """The identity case takes much work a row, and its table is one small file."""
     from inkveil.queries import queries
